@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm import line_dedup, sentencepiece_codec, token_store
+from antecede.llm import line_dedup, mixing, sentencepiece_codec, token_store
 from antecede.llm.common import load, tokenizer_path
 
 
@@ -24,8 +24,24 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, sf_dir, tokenizer_path("word_bpe_49k.json"))
 
 
+#: The production mixture of ``documents``: weights by level, share of the corpus's tokens, epochs.
+MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "es": 2.0, "fr": 2.0}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 3, 17
+
+
+def mix_levels() -> dict:
+    """Domain, language and source of ``documents``; a source's number decides its domain."""
+    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("source", "([0-9]{1,9})", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
+    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return mixing.mix_slim(docs, mix_levels(), MIX_WEIGHTS, F.floor(F.col("_all") * MIX_SHARE), MIX_EPOCHS, MIX_SEED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op7_line_dedup, op8_token_store)}
+    return {f.__name__: f for f in (op3_sentencepiece, op7_line_dedup, op8_token_store, op10_mixing)}
 
 
 OP7_SQL = r"""
@@ -45,5 +61,36 @@ FROM marked GROUP BY doc_id
 """
 
 
+def _weight_sql(level: str) -> str:
+    table = MIX_WEIGHTS.get(level, {})
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1.0 END" if table else "1.0"
+
+
+def mixing_sql(documents: str = "documents", share: float = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
+    """The mixture in SQL, leaf by leaf over all rows; ends in a table ``mixed``."""
+    ctes = [
+        f"slim AS (SELECT doc_id, 'd' || (coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})', 1), '') AS BIGINT), 0) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM {documents})",
+        "leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM slim GROUP BY ALL)",
+        f"l0 AS (SELECT CAST(least(floor(coalesce(sum(tokens), 0) * {share}), coalesce(sum(tokens), 0) * {epochs}) AS DOUBLE) AS budget FROM leaves)",
+    ]
+    above: list[str] = []
+    for n, level in enumerate(("domain", "lang", "source"), 1):
+        own = [*above, level]
+        cols, part = ", ".join(own), "PARTITION BY " + ", ".join(above) if above else ""
+        on = f"JOIN l{n - 1} USING ({', '.join(above)})" if above else "CROSS JOIN l0"
+        ctes += [
+            f"c{n} AS (SELECT * FROM (SELECT {cols}, CAST(sum(tokens) * {epochs} AS DOUBLE) AS cap, CAST({_weight_sql(level)} AS DOUBLE) AS w FROM leaves GROUP BY {cols}) {on} WHERE cap > 0)",
+            f"r{n} AS (SELECT *, row_number() OVER k AS k, (budget - (sum(cap) OVER u - cap)) / (sum(w) OVER a - sum(w) OVER u + w) AS rate FROM c{n} WINDOW a AS ({part}), k AS ({part} ORDER BY cap / w, {level}), u AS ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+            f"l{n} AS (SELECT {cols}, CASE WHEN cap / w <= rate THEN cap ELSE w * arg_min(rate, k) FILTER (cap / w > rate) OVER ({part}) END AS budget FROM r{n})",
+        ]
+        above = own
+    ctes += [
+        "given AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(floor(coalesce(budget, 0) + 1e-6) AS BIGINT) // tokens ELSE 0 END AS epoch, CASE WHEN tokens > 0 THEN CAST(floor(coalesce(budget, 0) + 1e-6) AS BIGINT) % tokens ELSE 0 END AS rest FROM leaves LEFT JOIN l3 USING (domain, lang, source))",
+        f"keyed AS (SELECT slim.*, epoch, rest, md5('{MIX_SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM slim JOIN given USING (domain, lang, source))",
+        "mixed AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM keyed)",
+    ]
+    return "WITH " + ",\n".join(ctes)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op10_mixing": mixing_sql() + "\nSELECT * FROM mixed"}
