@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm import line_dedup, mixing, sentencepiece_codec, token_store
+from antecede.llm import html_wrappers, language_id, line_dedup, mixing, sentencepiece_codec, token_store
 from antecede.llm.common import load, tokenizer_path
 
 
@@ -15,6 +15,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_id.identify(docs, F.col("lang"), F.col("source"))
+
+
+def lid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(load(spark, sf_dir, "pages"))
+
+
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", line_dedup.kept_sha256(F.col("text")).alias("kept_sha256"))
@@ -41,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op7_line_dedup, op8_token_store, op10_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op10_mixing, lid_pages)}
 
 
 OP7_SQL = r"""
