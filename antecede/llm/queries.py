@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm import html_wrappers, language_id, line_dedup, mixing, sentencepiece_codec, token_store
+from antecede.llm import embedding_dedup, html_wrappers, jaccard_join, language_id, line_dedup, mixing, sentencepiece_codec, token_store
 from antecede.llm.common import load, tokenizer_path
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -37,6 +41,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, sf_dir, tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(load(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
 #: The production mixture of ``documents``: weights by level, share of the corpus's tokens, epochs.
 MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "es": 2.0, "fr": 2.0}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 3, 17
@@ -54,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op10_mixing, lid_pages)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op9_jaccard_join, op10_mixing, lid_pages)}
 
 
 OP7_SQL = r"""
