@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm import embedding_dedup, html_wrappers, jaccard_join, language_id, line_dedup, mixing, sentencepiece_codec, token_store
+from antecede.llm import embedding_dedup, html_wrappers, jaccard_join, language_id, line_dedup, mixing, pii, sentencepiece_codec, token_store
 from antecede.llm.common import load, tokenizer_path
 
 
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -62,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op9_jaccard_join, op10_mixing, lid_pages)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op9_jaccard_join, op10_mixing, lid_pages)}
 
 
 OP7_SQL = r"""
