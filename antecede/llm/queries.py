@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm import embedding_dedup, html_wrappers, jaccard_join, language_id, line_dedup, mixing, pii, sentencepiece_codec, token_store
+from antecede.llm import audio_fingerprint, embedding_dedup, html_wrappers, jaccard_join, language_id, line_dedup, mixing, pii, sentencepiece_codec, token_store
 from antecede.llm.common import load, tokenizer_path
 
 
@@ -36,6 +36,11 @@ def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings`` as recordings (``melody``); every hundredth asks for all that align with it."""
+    return audio_fingerprint.search(load(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", "embedding", audio_fingerprint.melody)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", line_dedup.kept_sha256(F.col("text")).alias("kept_sha256"))
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_sentencepiece, op4_language_id, op5_html_wrappers, op7_line_dedup, op8_token_store, op9_jaccard_join, op10_mixing, lid_pages)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_pii, op3_sentencepiece, op4_language_id, op5_html_wrappers, op6_audio_fingerprint, op7_line_dedup, op8_token_store, op9_jaccard_join, op10_mixing, lid_pages)}
 
 
 OP7_SQL = r"""
