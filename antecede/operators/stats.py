@@ -62,16 +62,16 @@ def chi2_statistic(df: DataFrame, category: str, early: Column, most: int = 20)
     counts = named.groupBy("_c").agg(F.count_if("_e").alias("_a"), F.count_if(~F.col("_e")).alias("_b"))
     top = counts.orderBy(F.desc(F.col("_a") + F.col("_b")), "_c").limit(most).select("_c", F.lit(True).alias("_top"))
     folded = counts.join(top, "_c", "left").groupBy(F.when(F.col("_top"), F.col("_c")).otherwise("__other__").alias("_c")).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    total = folded.agg(F.sum("_a").alias("_A"), F.sum("_b").alias("_B"), F.count("*").alias("_k"))
+    total = folded.agg(F.sum("_a").alias("_all_a"), F.sum("_b").alias("_all_b"), F.count("*").alias("_k"))
     one = folded.crossJoin(F.broadcast(total))
-    n = F.col("_A") + F.col("_B")
+    n = F.col("_all_a") + F.col("_all_b")
 
     def term(seen: str, period: str) -> Column:
         expected = (F.col("_a") + F.col("_b")) * F.col(period) / n
         gap = F.abs(F.col(seen) - expected)
         return F.try_divide(F.pow(F.when(F.col("_k") == 2, F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap), 2), expected)
 
-    return one.agg(F.max("_k").alias("n_categories"), F.sum(term("_a", "_A") + term("_b", "_B")).alias("chi2")).withColumn("df", F.col("n_categories") - 1)
+    return one.agg(F.max("_k").alias("n_categories"), F.sum(term("_a", "_all_a") + term("_b", "_all_b")).alias("chi2")).withColumn("df", F.col("n_categories") - 1)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str, eps: float = 1e-12) -> DataFrame:
