@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.llm.common import stored
-from antecede.llm.components import components
+from antecede.llm.components import components, least_labels
 
 TILE, BLOCK = 4096, 512
 #: Leading axes that are accumulated first, and those that boxes use.
@@ -211,20 +211,6 @@ def _narrowed(a: _Tile, b: _Tile, u: np.ndarray, v: np.ndarray, threshold: float
     return u, v
 
 
-def least_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Least place that each of ``n`` places reaches by the links (u, v)."""
-    labels = np.arange(n)
-    while True:
-        low = np.minimum(labels[u], labels[v])
-        new = labels.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == labels).all():
-            return labels
-        labels = new
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for each row."""
     if not 0 < threshold <= 1:

@@ -9,11 +9,12 @@ The join partitions the space by pivots, in two kinds of levels:
    regions of its first ``floor(eps * |A|) + 1`` pivots; then any two linked sets meet in one region. (Whole documents make no
    pivots at this level: unrelated ones are at distance 1 from all of them, and a window of ``2 eps`` there copies everything
    everywhere.) The order is only a heuristic: it uses a count sketch of fixed size over the whole corpus.
+   A region with more than a few members is cut by set size, which is a distance too (to the set of all shingles): a member joins its own
+   ring and the next smaller one, so that linked sets meet.
 2. **Document pivots.** A region with few members is joined directly, after the same counting argument on the copied shingles has
-   excluded pairs that miss too many. In a larger one some members become pivots, and the exact distance of each other member to
-   each pivot is computed; those within ``eps`` link to it. That closes a region whose members are all connected, as in a group of near copies,
+   excluded pairs that miss too many. In a larger one a member becomes the pivot, and the exact distance of the other members to it is computed; those within ``eps`` link to it. That closes a region whose members are all connected, as in a group of near copies,
    however large. Else it is joined recursively: pivots leave, more are taken from the smallest components, and by the
-   triangle inequality a member is only compared with a new pivot when its distances to all earlier pivots differ by at most ``eps``
+   triangle inequality a member is only compared with a new pivot when its distance to the first pivot differs by at most ``eps``
    from the new pivot's, and when the two are not connected yet. The recursion ends when every region is closed, so the join is exact.
 
 Equal sets are one member from the start. Links are exact: ``100 * |A & B| >= percent * |A | B|`` on 64-bit shingle hashes.
@@ -41,8 +42,8 @@ from antecede.llm.shingles import shingle_sets
 COUNTERS, COUNTER_BLOCK = 1 << 21, 1 << 13
 #: Members of a region up to which it is joined directly.
 DIRECT = 12
-#: Pivots of a larger region at first; each further level takes four times as many.
-PIVOTS = 3
+#: Pivots of a region at its second level (at the first it has one); each further level takes four times as many.
+PIVOTS = 4
 #: Ids of documents whose sets are needed, up to which they are sent to every task (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _TEXTS = 64
@@ -56,9 +57,7 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         for batch in batches:
             for i in range(0, batch.num_rows, _TEXTS):
                 found = shingle_sets(batch.column(0).slice(i, _TEXTS).to_pylist(), size)
-                table += np.bincount(np.concatenate(found).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS) if sum(map(len, found)) > COUNTERS // 8 else 0
-                if sum(map(len, found)) <= COUNTERS // 8:
-                    np.add.at(table, np.concatenate(found).astype(np.int64) & (COUNTERS - 1), 1)
+                np.add.at(table, np.concatenate(found).astype(np.int64) & (COUNTERS - 1), 1)
         blocks = table.reshape(-1, COUNTER_BLOCK)
         at = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(blocks[k].astype("<i4").tobytes(), 1) for k in at], pa.binary())], ["block", "counts"])
@@ -105,11 +104,6 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, eps: float) ->
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
-def _least_overlap(n: F.Column, percent: int) -> F.Column:
-    """Least intersection of two linked sets whose sizes sum to ``n``."""
-    return F.ceil(n * percent / (100 + percent) - F.lit(1e-9))
-
-
 def _not_excluded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a, b``) that the first shingles do not exclude: below the smaller of the two last ones all misses are known."""
     side = lambda x: members.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"))
@@ -185,23 +179,51 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, eps: float, direct: int, pivots: int) -> DataFrame:
-    spark = docs.sparkSession
-    spread = members.select("row", "n", F.explode("first").alias("region"))
-    sizes = spread.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
-    regions = stored(spread.join(sizes, "region"), "regions")
-    near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    few = regions.where(F.col("m") <= direct).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("all"))
+def _direct_pairs(regions: DataFrame, direct: int, percent: int) -> DataFrame:
+    """``a, b`` of all members of regions (of ``direct`` members at most) whose sizes let them link."""
+    few = regions.groupBy("region").agg(F.collect_list(F.struct("n", "row")).alias("all"))
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, direct), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
-    few = few.select(F.col("p.x.row").alias("a"), F.col("p.y.row").alias("b"), F.col("p.x.n").alias("n"), F.col("p.y.n").alias("n2")).where(near)
-    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(_not_excluded(few, members, percent), "pairs")
-    done = stored(_distances(pairs, docs, members, id_col, text_col, size, eps), "distances")
+    few = few.select(F.col("p.x.row").alias("a"), F.col("p.y.row").alias("b"), F.col("p.x.n").alias("n"), F.col("p.y.n").alias("n2")).where(_near(percent))
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+
+
+def _near(percent: int) -> F.Column:
+    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+
+
+def _with_sizes(spread: DataFrame) -> DataFrame:
+    """Members of regions that have two at least, with the number of them."""
+    return spread.join(spread.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
+
+
+def _first_pivots(now: DataFrame) -> DataFrame:
+    """By region, the member that comes first in a hash order which all regions share, so that few documents serve many regions."""
+    least = now.groupBy("region").agg(F.min(F.struct(F.xxhash64("row").alias("h"), F.col("row").alias("pivot"), F.col("n").alias("n2"), F.col("component").alias("_pc"))).alias("p"))
+    return least.select("region", "p.pivot", F.lit(1).alias("_at"), "p.n2", "p._pc")
+
+
+def _more_pivots(now: DataFrame, take: int) -> DataFrame:
+    """By region, ``take`` members of its smallest components; first among those of one salt, then among the salts' first."""
+    parts = now.groupBy("region", "component").agg(F.count("*").alias("_size"))
+    ranked = now.join(parts, ["region", "component"]).select("*", F.struct("_size", F.xxhash64("row"), "row").alias("_rank"), F.pmod(F.xxhash64("row"), F.lit(64)).alias("_salt"))
+    least = lambda *by: Window.partitionBy(*by).orderBy("_rank")
+    firsts = ranked.withColumn("_k", F.row_number().over(least("region", "_salt"))).where(F.col("_k") <= take)
+    chosen = firsts.withColumn("_at", F.row_number().over(least("region"))).where(F.col("_at") <= take)
+    return chosen.select("region", F.col("row").alias("pivot"), "_at", F.col("n").alias("n2"), F.col("component").alias("_pc"))
+
+
+def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, eps: float, direct: int, pivots: int) -> DataFrame:
+    """``a, b``: links that connect what the linked pairs of members connect."""
     linked = lambda d: d.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
-    links = linked(done)
-    open_ = regions.where(F.col("m") > direct).select("region", "row", "n")
-    known: DataFrame | None = None  # region, row, far: distances to the region's earlier pivots
-    take = pivots
+    regions = stored(_with_sizes(members.select("row", "n", F.explode("first").alias("region"))), "regions")
+    # the size is a distance to a pivot too (the set of all shingles): linked sets lie in one ring of it or in neighbouring ones
+    ring = F.floor(F.log("n") / (max(-np.log(percent / 100), 1e-6) * (1 + 1e-9))).cast("long")
+    rings = F.explode(F.array(F.xxhash64("region", ring), F.xxhash64("region", ring - 1)))
+    large = stored(_with_sizes(regions.where(F.col("m") > direct).select("row", "n", rings.alias("region"))), "rings")
+    few = _direct_pairs(regions.where(F.col("m") <= direct), direct, percent).union(_direct_pairs(large.where(F.col("m") <= direct), direct, percent)).distinct()
+    pairs = stored(_not_excluded(few, members, percent), "pairs")
+    links = stored(linked(_distances(pairs, docs, members, id_col, text_col, size, eps)), "links")
+    open_, known, take = large.where(F.col("m") > direct).select("region", "row", "n"), None, pivots
     while True:
         labels = components(links)
         now = open_.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
@@ -209,27 +231,18 @@ def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size:
         now = stored(now.join(split, "region"), "open-regions")
         if now.isEmpty():
             return links
-        # pivots: members of the smallest components of a region first, then by a hash that all regions share
-        parts = now.groupBy("region", "component").agg(F.count("*").alias("_size"))
-        ranked = now.join(parts, ["region", "component"]).select("region", "row", F.struct("_size", F.xxhash64("row"), "row").alias("_rank"))
-        buckets = ranked.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(64)))
-        least = lambda by: Window.partitionBy(*by).orderBy("_rank")
-        firsts = buckets.withColumn("_k", F.row_number().over(least(["region", "_salt"]))).where(F.col("_k") <= take)
-        chosen = firsts.withColumn("_k", F.row_number().over(least(["region"]))).where(F.col("_k") <= take).select("region", F.col("row").alias("pivot"), F.col("_k").alias("_at"))
-        chosen = stored(chosen.join(now.select("region", F.col("row").alias("pivot"), F.col("n").alias("n2"), F.col("component").alias("_pc")), ["region", "pivot"]), "pivots")
-        facing = now.join(chosen, "region").where(F.col("row") != F.col("pivot"))
+        chosen = stored(_first_pivots(now) if known is None else _more_pivots(now, take), "pivots")
+        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc"))).where(_near(percent))
         if known is not None:
-            facing = facing.where(F.col("component") != F.col("_pc")).where(near)
             mine, theirs = known.withColumnRenamed("far", "_mine"), known.withColumnsRenamed({"row": "pivot", "far": "_theirs"})
             facing = facing.join(mine, ["region", "row"], "left").join(theirs, ["region", "pivot"], "left")
-            apart = F.exists(F.zip_with("_mine", "_theirs", lambda x, y: F.abs(x - y)), lambda g: g > eps + 1e-9)
-            facing = facing.where(~F.coalesce(apart, F.lit(False)))
-        facing = stored(facing.select("region", "row", "pivot", "_at", F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "facing")
-        measured = stored(_distances(facing.select("a", "b").distinct(), docs, members, id_col, text_col, size, eps), "distances")
-        links = links.union(linked(measured))
+            facing = facing.where(F.coalesce(F.abs(F.col("_mine") - F.col("_theirs")) <= eps + 1e-9, F.lit(True)))
+        facing = stored(facing.select("region", "row", F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "facing")
+        wanted = facing.select("a", "b").distinct()
+        measured = stored(_distances(wanted if known is None else stored(_not_excluded(wanted, members, percent), "pairs"), docs, members, id_col, text_col, size, eps), "distances")
+        links = stored(links.union(linked(measured)), "links")
         if known is None:
-            far = facing.join(measured, ["a", "b"]).groupBy("region", "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", (1 - F.col("shared") / F.col("total")).alias("d")))), lambda x: x["d"]).alias("far"))
-            counts = chosen.groupBy("region").agg(F.count("*").alias("_n"))
-            known = stored(far.join(counts, "region").where(F.size("far") == F.col("_n")).drop("_n"), "pivot-distances")
-        open_ = stored(now.select("region", "row", "n").join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti"), "open-regions")
-        take *= 4
+            known = stored(facing.join(measured, ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far")), "pivot-distances")
+        else:
+            take *= 4
+        open_ = now.select("region", "row", "n").join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
