@@ -31,7 +31,9 @@ SEGMENT = 1 << 17
 RANK_EVERY = 512
 _MAGIC = b"DAC1"
 #: Remembered chunks of text between white space, for each worker; full tables start anew.
-CHUNKS = 400_000
+CHUNKS = 800_000
+#: A character with one id of its own, between chunks that are encoded together, and how many are.
+MARK, TOGETHER = "★", 64
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -108,7 +110,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         for probe in ("two words", "a\nb  c\r\n d", "it's été ΣΣ x", "1234 ?!…"):
             if self.ids(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
                 raise ValueError(f"this tokenizer joins chunks across white space: {probe!r}")
@@ -120,25 +124,39 @@ class ChunkEncoder:
         return cls._of[path]
 
     def ids(self, text: str) -> list[int]:
-        return self.batch([text])[0]
-
-    def batch(self, texts: list[str]) -> list[list[int]]:
+        return self.batch([text])[0].tolist()
+
+    def _learn(self, new: list[str]) -> None:
+        known, encode = self.known, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False)
+        alone = new
+        if self.mark is not None:
+            alone = [w for w in new if MARK in w]
+            plain = [w for w in new if MARK not in w] if alone else new
+            groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+            for group, e in zip(groups, encode([f" {MARK} ".join(g) for g in groups]), strict=True):
+                ids = np.array(e.ids, "<u4")
+                marks = np.flatnonzero(ids == self.mark).tolist()
+                if len(marks) + 1 != len(group):
+                    alone += group
+                    continue
+                data, at = ids.tobytes(), 0
+                for w, end in zip(group, [*marks, len(ids)], strict=True):
+                    known[w] = data[4 * at : 4 * end]
+                    at = end + 1
+        for w, e in zip(alone, encode(alone), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
+        all_ = set().union(*cut)
+        new = all_ - known.keys()
         if len(known) + len(new) > CHUNKS:
             known.clear()
-            new = list({w for words in cut for w in words})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            known.update(zip(some, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
+            new = all_
+        if new:
+            self._learn(list(new))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
@@ -151,7 +169,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
         from pyspark import TaskContext
 
         encoder, part, seq = ChunkEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        names, starts, ids, size = [], [], [], 0
+        names, starts, ids, size, end = [], [], [], 0, np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             data = encode_codes(np.concatenate(ids))
@@ -165,7 +183,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                 for name, own in zip(some.column(0).to_pylist(), encoder.batch(some.column(1).to_pylist()), strict=True):
                     names.append(name)
                     starts.append(size)
-                    ids.append(np.array([*own, end_id], np.uint32))
+                    ids += (own, end)
                     size += len(own) + 1
                     if size >= segment:
                         yield flush()
