@@ -31,7 +31,7 @@ SEGMENT = 1 << 17
 RANK_EVERY = 512
 _MAGIC = b"DAC1"
 #: Remembered chunks of text between white space, for each worker; full tables start anew.
-CHUNKS = 1_400_000
+CHUNKS = 800_000
 #: A character with one id of its own, between chunks that are encoded together, and how many are.
 MARK, TOGETHER = "★", 64
 
