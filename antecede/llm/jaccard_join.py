@@ -9,11 +9,13 @@ The join partitions the space by pivots, in two kinds of levels:
    regions of its first ``floor(eps * |A|) + 1`` pivots; then any two linked sets meet in one region. (Whole documents make no
    pivots at this level: unrelated ones are at distance 1 from all of them, and a window of ``2 eps`` there copies everything
    everywhere.) The order is only a heuristic: it uses a count sketch of fixed size over the whole corpus.
+   Two sets only need to meet in the first region they share; there neither shares the shingles it has before, so their places bound the
+   intersection, and most pairs are excluded in the region itself.
    A region with more than a few members is cut by set size, which is a distance too (to the set of all shingles): a member joins its own
    ring and the next smaller one, so that linked sets meet.
 2. **Document pivots.** A region with few members is joined directly, after the same counting argument on the copied shingles has
-   excluded pairs that miss too many. In a larger one a member becomes the pivot, and the exact distance of the other members to it is computed; those within ``eps`` link to it. That closes a region whose members are all connected, as in a group of near copies,
-   however large. Else it is joined recursively: pivots leave, more are taken from the smallest components, and by the
+   excluded pairs that miss too many. In a larger one the most central member becomes the pivot, and the exact distance of the other members to it is computed; those within ``eps`` link to it. That closes a region whose members are all connected, as in a group of near copies,
+   however large. Else it is joined recursively: pivots leave, more are taken (of the smallest components, and the most central ones), and by the
    triangle inequality a member is only compared with a new pivot when its distance to the first pivot differs by at most ``eps``
    from the new pivot's, and when the two are not connected yet. The recursion ends when every region is closed, so the join is exact.
 
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import rows_of, stored, whole
+from antecede.llm.common import drop_stored, rows_of, stored, whole
 from antecede.llm.components import components
 from antecede.llm.shingles import shingle_sets
 
@@ -42,8 +44,8 @@ from antecede.llm.shingles import shingle_sets
 COUNTERS, COUNTER_BLOCK = 1 << 21, 1 << 13
 #: Members of a region up to which it is joined directly.
 DIRECT = 12
-#: Pivots of a region at its second level (at the first it has one); each further level takes four times as many.
-PIVOTS = 4
+#: Pivots of a region at its second level (at the first it has one); each further level takes eight times as many.
+PIVOTS = 16
 #: Ids of documents whose sets are needed, up to which they are sent to every task (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _TEXTS = 64
@@ -123,11 +125,10 @@ def _not_excluded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFra
     return joined.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _distances(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, eps: float) -> DataFrame:
-    """``a, b, shared, total``: sizes of intersection and union of each pair's whole sets, from the texts."""
+def _whole_sets(rows: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``row, whole``: the whole sets of the members in ``rows`` (``row``, repeats allowed), from the texts."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    wanted = stored(wanted.join(members.select("row", "id", "same"), "row"), "wanted-sets")
+    wanted = stored(rows.distinct().join(members.select("row", "id", "same"), "row"), "wanted-sets")
     source = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and dict(docs.dtypes)[id_col] in ("bigint", "int"):
         ids = np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy().astype(np.int64) for b in wanted.select("id").where("id IS NOT NULL").toArrow().to_batches())]))
@@ -146,6 +147,12 @@ def _distances(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: st
 
     sets = source.mapInArrow(run, "same binary, whole binary").join(wanted.select("row", "same"), "same").groupBy("row").agg(F.first("whole").alias("whole"))
     sets = stored(sets, "whole-sets")
+    drop_stored(wanted)
+    return sets
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, shared, total``: sizes of intersection and union of each pair's whole sets."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,69 +187,99 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def _direct_pairs(regions: DataFrame, direct: int, percent: int) -> DataFrame:
-    """``a, b`` of all members of regions (of ``direct`` members at most) whose sizes let them link."""
-    few = regions.groupBy("region").agg(F.collect_list(F.struct("n", "row")).alias("all"))
+    """``a, b`` of all members of regions (of ``direct`` members at most) that may link there."""
+    few = regions.groupBy("region").agg(F.collect_list(F.struct("n", "row", "at", "low")).alias("all"))
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, direct), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
-    few = few.select(F.col("p.x.row").alias("a"), F.col("p.y.row").alias("b"), F.col("p.x.n").alias("n"), F.col("p.y.n").alias("n2")).where(_near(percent))
-    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    side = lambda x, end: [F.col(f"p.{x}.{c}").alias(c + end) for c in ("row", "n", "at", "low")]
+    few = few.select(*side("x", ""), *side("y", "2")).where(_near(percent))
+    return few.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).where("a < b")
 
 
-def _near(percent: int) -> F.Column:
-    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+def _near(percent: int) -> Column:
+    """Whether two members may link with this region's shingle as the first that they share: neither then has those before it in
+    common with the other. Two that came from the ring above meet in their own ring."""
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    return (most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent) & ~(F.col("low") & F.col("low2"))
 
 
 def _with_sizes(spread: DataFrame) -> DataFrame:
-    """Members of regions that have two at least, with the number of them."""
-    return spread.join(spread.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
+    """Members of regions that have two at least, one of them in its own ring, with the number of them."""
+    return spread.join(spread.groupBy("region").agg(F.count("*").alias("m"), F.min("low").alias("_own")).where("m > 1 AND NOT _own").select("region", "m"), "region")
+
+
+#: Columns of a region's members, and the names they have as a pivot's.
+_MEMBER = ("region", "row", "n", "at", "low", "score", "far")
+_PIVOT_NAMES = {"row": "pivot", "n": "n2", "at": "at2", "low": "low2", "component": "_pc", "far": "far2"}
 
 
 def _first_pivots(now: DataFrame) -> DataFrame:
-    """By region, the member that comes first in a hash order which all regions share, so that few documents serve many regions."""
-    least = now.groupBy("region").agg(F.min(F.struct(F.xxhash64("row").alias("h"), F.col("row").alias("pivot"), F.col("n").alias("n2"), F.col("component").alias("_pc"))).alias("p"))
-    return least.select("region", "p.pivot", F.lit(1).alias("_at"), "p.n2", "p._pc")
+    """By region, the most central member: the one that meets most others over all regions, as the original of many near copies
+    does. Ties follow a hash order which all regions share, so that few documents serve many regions."""
+    most = now.groupBy("region").agg(F.max(F.struct((~F.col("low")).alias("_own"), "score", F.xxhash64("row").alias("_h"), *_PIVOT_NAMES)).alias("p"))
+    return most.select("region", *(F.col(f"p.{c}").alias(to) for c, to in _PIVOT_NAMES.items()))
 
 
 def _more_pivots(now: DataFrame, take: int) -> DataFrame:
-    """By region, ``take`` members of its smallest components; first among those of one salt, then among the salts' first."""
+    """By region, ``take`` members of its smallest components and the ``take`` most central ones, which only face members of other
+    components; first among those of one salt, then among the salts' first."""
     parts = now.groupBy("region", "component").agg(F.count("*").alias("_size"))
-    ranked = now.join(parts, ["region", "component"]).select("*", F.struct("_size", F.xxhash64("row"), "row").alias("_rank"), F.pmod(F.xxhash64("row"), F.lit(64)).alias("_salt"))
-    least = lambda *by: Window.partitionBy(*by).orderBy("_rank")
-    firsts = ranked.withColumn("_k", F.row_number().over(least("region", "_salt"))).where(F.col("_k") <= take)
-    chosen = firsts.withColumn("_at", F.row_number().over(least("region"))).where(F.col("_at") <= take)
-    return chosen.select("region", F.col("row").alias("pivot"), "_at", F.col("n").alias("n2"), F.col("component").alias("_pc"))
+    sized = now.join(parts, ["region", "component"]).withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(64)))
+
+    def least(order: Column) -> DataFrame:
+        ranked = sized.withColumn("_rank", order)
+        window = lambda *by: Window.partitionBy(*by).orderBy("_rank")
+        firsts = ranked.withColumn("_k", F.row_number().over(window("region", "_salt"))).where(F.col("_k") <= take)
+        chosen = firsts.withColumn("_k", F.row_number().over(window("region"))).where(F.col("_k") <= take)
+        return chosen.select("region", *(F.col(c).alias(to) for c, to in _PIVOT_NAMES.items()))
+
+    tie = (F.xxhash64("row"), F.col("row"))
+    both = least(F.struct("_size", -F.col("score"), *tie)).union(least(F.struct(-F.col("score"), *tie)))
+    return both.dropDuplicates(["region", "pivot"])
 
 
 def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, eps: float, direct: int, pivots: int) -> DataFrame:
     """``a, b``: links that connect what the linked pairs of members connect."""
     linked = lambda d: d.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
-    regions = stored(_with_sizes(members.select("row", "n", F.explode("first").alias("region"))), "regions")
+    ends = lambda d: d.select(F.col("a").alias("row")).union(d.select(F.col("b").alias("row")))
+    regions = stored(_with_sizes(members.select("row", "n", F.lit(False).alias("low"), F.posexplode("first").alias("at", "region"))), "regions")
     # the size is a distance to a pivot too (the set of all shingles): linked sets lie in one ring of it or in neighbouring ones
     ring = F.floor(F.log("n") / (max(-np.log(percent / 100), 1e-6) * (1 + 1e-9))).cast("long")
-    rings = F.explode(F.array(F.xxhash64("region", ring), F.xxhash64("region", ring - 1)))
-    large = stored(_with_sizes(regions.where(F.col("m") > direct).select("row", "n", rings.alias("region"))), "rings")
+    rings = F.array(*(F.struct(F.xxhash64("region", ring - k).alias("region"), F.lit(k > 0).alias("low")) for k in (0, 1)))
+    large = regions.where(F.col("m") > direct).select("row", "n", "at", F.explode(rings).alias("_r")).select("row", "n", "at", "_r.region", "_r.low")
+    large = stored(_with_sizes(large), "rings")
     few = _direct_pairs(regions.where(F.col("m") <= direct), direct, percent).union(_direct_pairs(large.where(F.col("m") <= direct), direct, percent)).distinct()
     pairs = stored(_not_excluded(few, members, percent), "pairs")
-    links = stored(linked(_distances(pairs, docs, members, id_col, text_col, size, eps)), "links")
-    open_, known, take = large.where(F.col("m") > direct).select("region", "row", "n"), None, pivots
+    drop_stored(regions)
+    sets = _whole_sets(ends(pairs), docs, members, id_col, text_col, size)
+    links = stored(linked(_distances(pairs, sets)), "links")
+    drop_stored(sets)
+    large = large.where(F.col("m") > direct)
+    open_, sets, take = large.join(large.groupBy("row").agg(F.sum("m").alias("score")), "row").withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), None, pivots
+    old: list[DataFrame] = []
     while True:
         labels = components(links)
         now = open_.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-        split = now.groupBy("region").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("region")
+        split = now.groupBy("region").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("low").alias("_own")).where("_lo < _hi AND NOT _own").select("region")
         now = stored(now.join(split, "region"), "open-regions")
+        while old:
+            drop_stored(old.pop())
         if now.isEmpty():
             return links
-        chosen = stored(_first_pivots(now) if known is None else _more_pivots(now, take), "pivots")
-        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc"))).where(_near(percent))
-        if known is not None:
-            mine, theirs = known.withColumnRenamed("far", "_mine"), known.withColumnsRenamed({"row": "pivot", "far": "_theirs"})
-            facing = facing.join(mine, ["region", "row"], "left").join(theirs, ["region", "pivot"], "left")
-            facing = facing.where(F.coalesce(F.abs(F.col("_mine") - F.col("_theirs")) <= eps + 1e-9, F.lit(True)))
+        first = sets is None
+        if first:
+            sets = _whole_sets(now.select("row"), docs, members, id_col, text_col, size)
+        chosen = stored(_first_pivots(now) if first else _more_pivots(now, take), "pivots")
+        near = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= eps + 1e-9, F.lit(True))
+        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc")) & _near(percent) & near)
         facing = stored(facing.select("region", "row", F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "facing")
         wanted = facing.select("a", "b").distinct()
-        measured = stored(_distances(wanted if known is None else stored(_not_excluded(wanted, members, percent), "pairs"), docs, members, id_col, text_col, size, eps), "distances")
+        measured = stored(_distances(wanted if first else _not_excluded(wanted, members, percent), sets), "distances")
+        old += [now, chosen, facing, measured, links]
         links = stored(links.union(linked(measured)), "links")
-        if known is None:
-            known = stored(facing.join(measured, ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far")), "pivot-distances")
+        rest = now.join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
+        if first:
+            far = facing.join(measured, ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far"))
+            rest = rest.drop("far").join(far, ["region", "row"], "left")
         else:
-            take *= 4
-        open_ = now.select("region", "row", "n").join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
+            take *= 8
+        open_ = rest.select(*_MEMBER)
