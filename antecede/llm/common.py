@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE = 256
 
+#: What operators remember in this Python worker between tasks: by operator, how it is forgotten.
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _forget[owner] = forget
+
+
+def forget_others(owner: str = "") -> None:
+    """Frees what other operators remember in this worker; for the start of a task, so that stages in one worker do not add up."""
+    for name in [n for n in _forget if n != owner]:
+        _forget.pop(name)()
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; it is never copied."""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import drop_stored, rows_of, stored, whole
+from antecede.llm.common import drop_stored, forget_others, rows_of, stored, whole
 from antecede.llm.components import components
 from antecede.llm.shingles import shingle_sets
 
@@ -55,6 +55,7 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     """By counter, the number of documents whose shingles fall on it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, _TEXTS):
@@ -90,6 +91,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, eps: float) ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         table = levels.value.astype(np.uint64)
         for batch in batches:
             for i in range(0, batch.num_rows, 8 * _TEXTS):
@@ -112,6 +114,7 @@ def _not_excluded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFra
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             keep = []
             for na, nb, fa, fb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
@@ -137,6 +140,7 @@ def _whole_sets(rows: DataFrame, docs: DataFrame, members: DataFrame, id_col: st
         source, sent = source.join(wanted.select("id").distinct(), source["id"].eqNullSafe(wanted["id"]), "left_semi"), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             if sent is not None:
                 known = batch.column(0).to_numpy(zero_copy_only=False)
@@ -155,6 +159,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, shared, total``: sizes of intersection and union of each pair's whole sets."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             shared, total = [], []
             for x, y in zip(rows_of(batch.column(2), 64), rows_of(batch.column(3), 64), strict=True):

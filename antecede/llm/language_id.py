@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import rows_of, stored, whole
+from antecede.llm.common import forget_others, rows_of, stored, whole
 
 #: Trigrams that a long text counts as.
 TEXT_WEIGHT = 60.0
@@ -60,6 +60,7 @@ def train(docs: DataFrame, names: list[str], text_col: str, declared: Column) ->
     of = {name: k for k, name in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         table = np.zeros((len(names), _CODES), np.int64)
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
@@ -85,6 +86,7 @@ def text_evidence(docs: DataFrame, model: np.ndarray, text_col: str, keep_text:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         table = sent.value
         for batch in batches:
             out = []

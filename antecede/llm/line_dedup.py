@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import rows_of, stored, whole
+from antecede.llm.common import forget_others, rows_of, stored, whole
 
 #: Bits of each filter: 16 MB, 2 bits a key up to 67 million keys.
 FILTER_BITS = 1 << 27
@@ -58,6 +58,7 @@ def repeat_filter(docs: DataFrame, text_col: str = "text", bits: int = FILTER_BI
     """The bytes of the filter of hashes that two documents have at least."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for text in rows_of(batch.column(0)):
@@ -98,6 +99,7 @@ def repeated_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, b
     seen = spark.sparkContext.broadcast(repeat_filter(docs, text_col, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         twice, found = seen.value, {}
 
         def flush() -> pa.RecordBatch:
@@ -136,6 +138,7 @@ def _with_own_keys(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str)
     """``docs`` with ``_drop``, each document's own repeated keys, by joins; for more keys than a task may be sent."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             pairs = [(i, k) for i, t in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True) for k in {*_keys(t)} - {b""}]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], batch.column(0).type), pa.array([p[1] for p in pairs], pa.binary())], ["_id", "key"])
@@ -152,6 +155,7 @@ def _apply(docs: DataFrame, text_col: str, sent) -> DataFrame:
     inner = docs.select(*[F.col(f"`{c}`") for c in names], whole(text_col).alias(text_col), *([F.col("_drop")] if sent is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         common = sent.value if sent is not None else frozenset()
         at = len(names)
         for batch in batches:

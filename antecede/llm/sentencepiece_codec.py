@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import rows_of, whole
+from antecede.llm.common import forget_others, remembers, rows_of, whole
 
 MARK = "▁"
 #: Entries of the tables of remembered units and pairs; full ones start anew.
@@ -193,7 +193,9 @@ _codecs: dict[str, PieceCodec] = {}
 
 
 def codec(model_path: str) -> PieceCodec:
-    """The worker's codec for a model; workers keep it between tasks."""
+    """The worker's codec for a model; workers keep it between tasks, until another operator runs there."""
+    forget_others("sentencepiece")
+    remembers("sentencepiece", _codecs.clear)
     if model_path not in _codecs:
         _codecs[model_path] = PieceCodec(model_path)
     return _codecs[model_path]

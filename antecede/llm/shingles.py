@@ -14,6 +14,8 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _generator.integers(1, 1 << 63, 8, dtype=np.uint64) | _U(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps between batches; for longer texts they are made anew.
+_KEPT_POWERS = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,10 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(2 * n, base, np.uint64)
+        tables = []
+        for base in (_BASE, _INVERSE):
+            table = np.full(max(n, min(2 * n, _KEPT_POWERS)), base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
+            tables.append(np.multiply.accumulate(table))
+        if n > _KEPT_POWERS:
+            return tables[0], tables[1]
+        _powers[:] = tables
     return _powers[0], _powers[1]
 
 
