@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions.columns import require_columns
+from antecede.llm.common import stored
+from antecede.llm.components import FEW_LINKS, components
 
 
 class DisjointSet:
@@ -46,53 +45,62 @@ class DisjointSet:
         return x in self.parent
 
 
-def final_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``node, component``: least node reachable over all edges, by least labels and pointer jumping in joins."""
-    links = edges.select(F.concat(F.lit("a:"), F.col(a).cast("string")).alias("x"), F.concat(F.lit("b:"), F.col(b).cast("string")).alias("y")).distinct()
-    both = links.union(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/antecede-checkpoints"))
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("y"), F.col("component").alias("_o")), "y").groupBy(F.col("x").alias("node")).agg(F.min("_o").alias("_near"))
-        low = labels.join(near, "node").select("node", F.least("component", "_near").alias("_low"), F.col("component").alias("_was"))
-        new = low.join(low.select(F.col("node").alias("_low"), F.col("_low").alias("_top")), "_low", "left").select("node", F.least("_low", F.coalesce("_top", "_low")).alias("component"), "_was").checkpoint()
-        labels = new.select("node", "component")
-        if new.where("component <> _was").isEmpty():
-            return labels
+def _half(links: DataFrame, h: int, right: bool) -> DataFrame:
+    return links.where(F.shiftright("_c_t", h).bitwiseAND(1) == int(right))
+
+
+def _at(h: int, c: str) -> Column:
+    """A component's name within its span of ``2 ** (h + 1)`` times."""
+    return F.concat_ws(":", F.shiftright("_c_t", h + 1), c)
 
 
-_METRICS = "a_component_size bigint, b_component_size bigint, same_component boolean, merged_component_size bigint"
+def _earliest(links: DataFrame, h: int) -> DataFrame:
+    """Links between different components; of parallel ones in a span of ``2 ** h`` times the first decides."""
+    return links.where("_c_x <> _c_y").groupBy(F.shiftright("_c_t", h).alias("_c_span"), "_c_x", "_c_y").agg(F.min("_c_t").alias("_c_t")).drop("_c_span")
 
 
-def causal_component_metrics(edges: DataFrame, a: str, b: str, dt: str) -> DataFrame:
+def causal_component_metrics(edges: DataFrame, a: str, b: str, dt: str, few_links: int = FEW_LINKS) -> DataFrame:
     """Each edge's component sizes just before its time; all edges of one time are read before any is added.
 
-    Edges only interact within a final component, so each is replayed by itself, in order of time. Null endpoints raise ValueError.
+    The times are halved again and again. For every span of times the components at its start are known (single nodes at first); the
+    links of its left half join them to the components at the start of its right half, for all spans at once. After as many
+    rounds as the number of times has binary digits each time is a span of its own. A round is joins and minima over the links between
+    different components, so a giant component never goes to one task. Null endpoints raise ValueError; without a time the metrics are null.
     """
     require_columns(edges, a, b, dt)
     if not edges.where(F.col(a).isNull() | F.col(b).isNull()).isEmpty():
         raise ValueError("an edge has a null endpoint")
-    labels = final_components(edges, a, b)
-    keyed = edges.withColumn("_c_node", F.concat(F.lit("a:"), F.col(a).cast("string"))).join(labels.withColumnsRenamed({"node": "_c_node", "component": "_c_comp"}), "_c_node").drop("_c_node")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema), _METRICS])
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        sets, out = DisjointSet(), []
-        for _, bucket in frame.groupby(dt, sort=True):
-            ends = [(("a", x), ("b", y)) for x, y in zip(bucket[a], bucket[b], strict=True)]
-            seen = [(sets.size(x), sets.size(y), sets.connected(x, y)) for x, y in ends]
-            part = bucket.copy()
-            part["a_component_size"], part["b_component_size"], part["same_component"] = ([s[k] for s in seen] for k in range(3))
-            part["merged_component_size"] = [x if same else x + y for x, y, same in seen]
-            out.append(part)
-            for x, y in ends:
-                sets.union(x, y)
-        return pd.concat(out).drop(columns="_c_comp")
-
-    return keyed.groupBy("_c_comp").applyInPandas(replay, schema)
+    spark, of = edges.sparkSession, edges.schema[dt].dataType.simpleString()
+    times = edges.where(F.col(dt).isNotNull()).select(F.col(dt).alias("_c_dt")).distinct().orderBy("_c_dt").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    times = stored(spark.createDataFrame(times, f"_c_dt {of}, _c_t bigint"), "edge-times")
+    name = lambda side, c: F.concat(F.lit(f"{side}:"), F.col(c).cast("string"))
+    keyed = edges.withColumns({"_c_a": name("a", a), "_c_b": name("b", b)}).join(times, F.col(dt) == F.col("_c_dt"), "left").drop("_c_dt")
+    timed = keyed.where("_c_t IS NOT NULL")
+    links = stored(timed.select(F.col("_c_a").alias("_c_x"), F.col("_c_b").alias("_c_y"), "_c_t").distinct(), "edge-links")
+    seen = links.select(F.col("_c_x").alias("_c_node"), "_c_t").union(links.select("_c_y", "_c_t")).distinct()
+    seen = stored(seen.withColumns({"_c_comp": F.col("_c_node"), "_c_size": F.lit(1).cast("long")}), "edge-ends")
+    n = times.count()
+    for h in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        links = _earliest(links, h + 1)
+        left = stored(_half(links, h, False), "edge-links")
+        if left.isEmpty():
+            continue
+        labels = components(left.select(_at(h, "_c_x").alias("a"), _at(h, "_c_y").alias("b")), few_links)
+        sizes = seen.select(_at(h, "_c_comp").alias("node"), "_c_size").distinct()
+        joined = labels.join(sizes, "node")
+        total = joined.groupBy("component").agg(F.sum("_c_size").alias("_c_total"))
+        moved = stored(labels.join(total, "component").select(F.col("node").alias("_c_key"), F.expr("substr(component, instr(component, ':') + 1)").alias("_c_new"), "_c_total"), "edge-components")
+        to = lambda df, c: df.withColumn("_c_key", _at(h, c)).join(moved, "_c_key", "left").withColumn(c, F.coalesce("_c_new", c)).drop("_c_key", "_c_new")  # noqa: E731, B023
+        right = to(_half(seen, h, True), "_c_comp").withColumn("_c_size", F.coalesce("_c_total", "_c_size")).drop("_c_total")
+        seen = stored(_half(seen, h, False).unionByName(right), "edge-ends")
+        links = stored(left.unionByName(_earliest(to(to(_half(links, h, True), "_c_x").drop("_c_total"), "_c_y").drop("_c_total"), h)), "edge-links")
+    out = keyed
+    for side in "ab":
+        end = seen.select(F.col("_c_node").alias(f"_c_{side}"), "_c_t", F.col("_c_comp").alias(f"_c_{side}_comp"), F.col("_c_size").alias(f"{side}_component_size"))
+        out = out.join(end, [f"_c_{side}", "_c_t"], "left")
+    same = F.col("_c_a_comp") == F.col("_c_b_comp")
+    merged = F.when(same, F.col("a_component_size")).otherwise(F.col("a_component_size") + F.col("b_component_size"))
+    return out.withColumns({"same_component": same, "merged_component_size": merged}).select(*edges.columns, "a_component_size", "b_component_size", "same_component", "merged_component_size")
 
 
 def component_summary(metrics: DataFrame, *by: str) -> DataFrame:

@@ -384,12 +384,12 @@ def score_requests(s, d):
 
 
 def _monthly_edges(s, d):
-    return A.lines(s, d).where("other % 40 = grp % 40").select("id", F.col("grp"), F.col("other"), F.floor(F.col("dt") / 30).alias("dt"))
+    return A.lines(s, d).select("id", F.col("grp"), F.col("other"), F.floor(F.col("dt") / 30).alias("dt"))
 
 
 @query()
 def component_metrics(s, d):
-    """Edges between suppliers and parts of one residue (a relationship of its own); ``dt`` is a 30-day month."""
+    """All edges between suppliers and parts; ``dt`` is a 30-day month."""
     return graph.causal_component_metrics(_monthly_edges(s, d), "grp", "other", "dt")
 
 
