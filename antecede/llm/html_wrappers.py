@@ -15,7 +15,8 @@ read along its host's wrapper.
 Definitions: a null or empty page has an empty text; null urls share one wrapper. Blocks are the texts between
 block-level tags; white space in them (Unicode's, after decoding references) becomes one space, they are
 trimmed and joined by two newlines, empty ones left out. A page header's elements go, but those inside the article
-stay. Elements nested deeper than ``DEEPEST`` count as part of their ancestor. Unclosed scripts and comments
+stay. A class, id or role names an element outside the text by what it is (``sidebar``), not by what it has (``has-sidebar``); html,
+body, main, article and elements whose whole class, id or role is a content name are never outside by it. Elements nested deeper than ``DEEPEST`` count as part of their ancestor. Unclosed scripts and comments
 reach to the end of the page.
 """
 
@@ -50,6 +51,9 @@ _OUTSIDE = frozenset(
     "pagination pager toolbar widget contentinfo complementary search alert".split()
 )
 _INSIDE = frozenset("article content post entry story main".split())
+#: In a name like ``has-sidebar`` or ``comments-open``: it says what the element has, not what it is.
+_HAS = frozenset("has have no non with without show hide open opened closed enabled disabled layout".split())
+_NEVER_OUTSIDE = frozenset("html body main article".split())
 _CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _SCOPES = frozenset("ul ol table dl article section div main body html td th".split())
 
@@ -64,10 +68,15 @@ def host_of(url: Column | str) -> Column:
 def _label(name: str, attributes: str) -> str:
     if not attributes:
         return name
-    words = set()
+    outside, inside, root = set(), set(), name in _NEVER_OUTSIDE
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        words.update(w for w in re.split("[^a-z0-9]+", (a or b or c).lower()) if w in _OUTSIDE or w in _INSIDE)
-    return ".".join([name, *sorted(words)])
+        for token in (a or b or c).lower().split():
+            own = set(re.split("[^a-z0-9]+", token))
+            if not own & _HAS:
+                outside |= own & _OUTSIDE
+                inside |= own & _INSIDE
+                root |= token in _INSIDE
+    return ".".join([name, *sorted(inside if root else inside | outside)])
 
 
 def parse(page: str) -> Element:
