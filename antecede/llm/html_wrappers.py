@@ -8,9 +8,9 @@ the one before it, else an optional group. Every page of the host takes part. Ta
 own pages and send one wrapper a host, which are aligned in the same way; so a host of any size
 costs one task no more than one wrapper from each other task.
 
-A wrapper's slots are then labelled once: main text is what is in its article (else main, else content, else
-body) and in no menu, header, footer, sidebar, notice, advert, form or comment element. A page's text is
-read along its host's wrapper.
+Main text is what is in a page's article (else main, else content, else body) and in no menu, header, footer, sidebar, notice,
+advert, form or comment element, by the page's own tags and names. The wrapper only tells which of these kinds none of the host's
+pages has; its slots, optional and repeated groups do not decide what is kept.
 
 Definitions: a null or empty page has an empty text; null urls share one wrapper. Blocks are the texts between
 block-level tags; white space in them (Unicode's, after decoding references) becomes one space, they are
