@@ -8,9 +8,10 @@ Evidence for a row's language, multiplied as likelihoods and normalised:
 * its address suffix, by P(suffix | language);
 * its host's prior, smoothed hierarchically: host towards suffix, suffix towards the whole corpus.
 
-The trigram counts come from all rows with a declared language (a table of fixed size, at most ``LANGUAGES``
-languages of 262,144 counts); the other tables are grouped counts over all rows of the language that the text alone
-speaks for. Only tables whose size does not depend on the number of rows leave Spark; hosts stay in a joined table.
+Every declared value whose rows have ``LEAST_CHARS`` characters of text together is a language, whatever its share. The trigram counts
+come from all rows of these languages, thin ones being smoothed; they are kept sparsely (a trigram has entries only for the
+languages that use it), so their number is not limited. The other tables are grouped counts over all rows of the language that the
+text alone speaks for. Only tables that grow with the languages but not with the rows leave Spark; hosts stay in a joined table.
 
 A row is accepted when its best language, not the background, has a posterior of ``threshold`` at least.
 A null or empty text, or one without letters, has no language (null) and is rejected. Null hosts, suffixes and
@@ -32,11 +33,13 @@ from antecede.llm.common import forget_others, rows_of, stored, whole
 TEXT_WEIGHT = 60.0
 #: Pseudo-counts: of trigrams, of declared languages and suffixes, and of the level above a host or suffix.
 TRIGRAM_COUNT, EVIDENCE_COUNT, PRIOR_COUNT = 0.05, 20.0, 10.0
-#: Least share of the labelled rows that makes a declared value a language, and most languages.
-LEAST_SHARE, LANGUAGES = 0.005, 64
+#: Characters of text that make a declared value a language.
+LEAST_CHARS = 1000
 #: Posterior from which on a row is accepted.
 THRESHOLD = 0.5
 _CODES = 1 << 18
+#: Trigrams that a task holds before it adds them up.
+_HELD = 1 << 21
 
 _CLASS = np.zeros(256, np.uint32)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -49,38 +52,65 @@ def trigrams(text: str) -> np.ndarray:
     return ((t[:-2] << np.uint32(12)) | (t[1:-1] << np.uint32(6)) | t[2:])[t[1:-1] > 0]
 
 
-def languages(docs: DataFrame, declared: Column) -> list[str]:
-    counts = docs.groupBy(declared.alias("l")).count().where("l <> ''").orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    return sorted(r.l for r in counts if r["count"] >= LEAST_SHARE * total)
+def languages(docs: DataFrame, declared: Column, text_col: str) -> list[str]:
+    found = docs.where(declared != "").groupBy(declared.alias("l")).agg(F.sum(F.length(text_col)).alias("n")).where(F.col("n") >= LEAST_CHARS)
+    return sorted(r.l for r in found.select("l").collect())
 
 
-def train(docs: DataFrame, names: list[str], text_col: str, declared: Column) -> np.ndarray:
-    """Log likelihoods by trigram (rows) and language, the background last."""
+class Model:
+    """Log likelihoods of trigrams by language, the background last: those of a trigram that a language does not have, and what others have more."""
+
+    def __init__(self, at: np.ndarray, counts: np.ndarray, n: int):
+        at, counts = at[order := np.argsort(at, kind="stable")], counts[order]
+        code, self.language = at // n, (at % n).astype(np.int32)
+        self.starts = np.searchsorted(code, np.arange(_CODES + 1))
+        seen = max(1, int((np.diff(self.starts) > 0).sum()))
+        total = np.bincount(self.language, counts, n) + TRIGRAM_COUNT * seen
+        self.base = np.append(np.log(TRIGRAM_COUNT / total), np.log(1.0 / seen))
+        self.more = np.log((counts + TRIGRAM_COUNT) / TRIGRAM_COUNT).astype(np.float32)
+
+    def evidence(self, codes: np.ndarray) -> np.ndarray:
+        """Sums over the trigrams."""
+        first, size = self.starts[codes], self.starts[codes + np.uint32(1)] - self.starts[codes]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return len(codes) * self.base + np.bincount(self.language[at], self.more[at], len(self.base))
+
+
+def train(docs: DataFrame, names: list[str], text_col: str, declared: Column) -> Model:
     of = {name: k for k, name in enumerate(names)}
+    n = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
-        table = np.zeros((len(names), _CODES), np.int64)
+        held: list[np.ndarray] = []
+        size, at, total = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add_up():
+            new, counts = np.unique(np.concatenate(held), return_counts=True)
+            both, place = np.unique(np.concatenate([at, new]), return_inverse=True)
+            return both, np.bincount(place, np.concatenate([total, counts])).astype(np.int64)
+
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
                 if (k := of.get(name)) is not None:
-                    np.add.at(table[k], trigrams(text), 1)
-        for k in range(len(names)):
-            at = np.flatnonzero(table[k])
-            yield pa.RecordBatch.from_arrays([pa.array(at + k * _CODES, pa.int64()), pa.array(table[k][at], pa.int64())], ["at", "n"])
-
-    found = docs.select(declared, whole(text_col)).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(names) * _CODES)
-    for batch in found.toArrow().to_batches():
-        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    counts = counts.reshape(len(names), _CODES)
-    seen = max(1, int((counts.sum(axis=0) > 0).sum()))
-    share = (counts + TRIGRAM_COUNT) / (counts.sum(axis=1, keepdims=True) + TRIGRAM_COUNT * seen)
-    return np.log(np.vstack([share, np.full((1, _CODES), 1.0 / seen)])).T.astype(np.float32).copy()
-
-
-def text_evidence(docs: DataFrame, model: np.ndarray, text_col: str, keep_text: bool) -> DataFrame:
+                    codes = trigrams(text)
+                    held.append(codes.astype(np.int64) * n + k)
+                    size += len(codes)
+                if size >= _HELD:
+                    at, total = add_up()
+                    held, size = [], 0
+                    if len(at) >= _HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total)], ["at", "n"])
+                        at, total = at[:0], total[:0]
+        if held:
+            at, total = add_up()
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total)], ["at", "n"])
+
+    found = docs.select(declared, whole(text_col)).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    return Model(found.column("at").to_numpy(), found.column("n").to_numpy(), n)
+
+
+def text_evidence(docs: DataFrame, model: Model, text_col: str, keep_text: bool) -> DataFrame:
     """``docs`` with ``_ll``, the damped log likelihoods by language (null without letters)."""
     keep = [c for c in docs.columns if c != text_col]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -92,7 +122,7 @@ def text_evidence(docs: DataFrame, model: np.ndarray, text_col: str, keep_text:
             out = []
             for text in rows_of(batch.column(len(keep))):
                 codes = trigrams(text) if text else ()
-                out.append([float(x) for x in table[codes].sum(axis=0, dtype=np.float64) / (1 + len(codes) / TEXT_WEIGHT)] if len(codes) else None)
+                out.append((table.evidence(codes) / (1 + len(codes) / TEXT_WEIGHT)).tolist() if len(codes) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *([batch.column(len(keep))] if keep_text else []), pa.array(out, pa.list_(pa.float64()))], [*keep, *([text_col] if keep_text else []), "_ll"])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *([f"`{text_col}` string"] if keep_text else []), "_ll array<double>"])
@@ -118,17 +148,24 @@ class Evidence:
         #: Log likelihoods of a declared language and of a suffix, by language.
         self.declared = self._likelihood(counts, "_declared", total, n)
         self.suffix = self._likelihood(counts, "_suffix", total, n)
-        by = lambda *c: counts.groupBy(*c).agg(*[F.count_if(F.col("_l") == k).alias(f"n{k}") for k in range(n)])
-        size = lambda p: sum((F.col(f"{p}{k}") for k in range(n)), F.lit(0))
-        suffixes = by("_suffix").select("_suffix", *[((F.col(f"n{k}") + PRIOR_COUNT * self.prior[k]) / (size("n") + PRIOR_COUNT)).alias(f"s{k}") for k in range(n)])
-        self.hosts = by("_host", "_suffix").join(suffixes, "_suffix").select("_host", "_suffix", F.array(*[F.log((F.col(f"n{k}") + PRIOR_COUNT * F.col(f"s{k}")) / (size("n") + PRIOR_COUNT)) for k in range(n)]).alias("_prior"))
+        prior = F.array(*[F.lit(p) for p in self.prior])
+        smooth = lambda above: F.transform("_by", lambda c, k: (c + PRIOR_COUNT * F.get(above, k)) / (F.col("_n") + PRIOR_COUNT))
+        suffixes = self._counts(counts, n, "_suffix").select("_suffix", smooth(prior).alias("_above"))
+        hosts = self._counts(counts, n, "_host", "_suffix").join(suffixes, "_suffix")
+        self.hosts = hosts.select("_host", "_suffix", F.transform(smooth(F.col("_above")), lambda x: F.log(x)).alias("_prior"))
+
+    @staticmethod
+    def _counts(counts: DataFrame, n: int, *by: str) -> DataFrame:
+        """``_n`` rows of each value, ``_by`` language."""
+        found = counts.groupBy(*by, "_l").agg(F.count("*").alias("_c")).groupBy(*by).agg(F.sum("_c").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_l", "_c"))).alias("_m"))
+        return found.select(*by, "_n", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("_by"))
 
     @staticmethod
     def _likelihood(counts: DataFrame, column: str, total: dict[int, int], n: int) -> DataFrame:
         """Log P(value | language) for values that are frequent enough to tell; others say nothing."""
-        rows = counts.groupBy(column).agg(F.count("*").alias("_n"), *[F.count_if(F.col("_l") == k).alias(f"n{k}") for k in range(n)])
         everything = max(1, sum(total.values()))
-        return rows.select(column, F.array(*[F.log((F.col(f"n{k}") + EVIDENCE_COUNT * F.col("_n") / everything) / (total.get(k, 0) + EVIDENCE_COUNT)) for k in range(n)]).alias(f"{column}_ll"))
+        sizes = F.array(*[F.lit(total.get(k, 0)) for k in range(n)])
+        return Evidence._counts(counts, n, column).select(column, F.transform("_by", lambda c, k: F.log((c + EVIDENCE_COUNT * F.col("_n") / everything) / (F.get(sizes, k) + EVIDENCE_COUNT))).alias(f"{column}_ll"))
 
     def judge(self, scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """``scored`` without helper columns, with ``predicted``, ``confidence`` and ``accepted``."""
@@ -155,7 +192,7 @@ def prepared(docs: DataFrame, declared: Column, host: Column, suffix: Column) ->
 def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_col: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Columns of ``docs`` (the text only if asked for) with ``predicted``, ``confidence``, ``accepted``."""
     ready = prepared(docs, declared, host, F.lit("") if suffix is None else suffix)
-    names = languages(ready, F.col("_declared"))
+    names = languages(ready, F.col("_declared"), text_col)
     if not names:
         return ready.drop("_declared", "_host", "_suffix", *([] if keep_text else [text_col])).withColumns({"predicted": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
     model = train(ready, names, text_col, F.col("_declared"))
