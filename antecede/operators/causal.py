@@ -43,16 +43,18 @@ def _median(values: Column) -> Column:
     return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
 
 
-def _buckets(df: DataFrame, group: str, dt: str, content: Column, window: int) -> DataFrame:
-    """A row for each (group, dt): the contents and row counts of the latest whole buckets before it that hold ``window`` rows at least, or all."""
+def _buckets(df: DataFrame, group: str, dt: str, content: Column, window: int, own: bool = False) -> DataFrame:
+    """A row for each (group, dt): the contents and row counts of the latest whole buckets before it (with its ``own``, up to it) that hold
+    ``window`` rows at least, or all."""
     if window <= 0:
         raise ValueError("the window must be positive")
     b = df.where(F.col(group).isNotNull() & F.col(dt).isNotNull()).groupBy(group, dt).agg(content.alias("_c_v"), F.count("*").alias("_c_n"))
     order = Window.partitionBy(group).orderBy(dt)
     b = b.withColumn("_c_upto", F.sum("_c_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # a bucket has a row at least, so `window` buckets are wide enough
-    held = F.collect_list(F.struct(F.col("_c_upto").alias("upto"), F.col("_c_n").alias("n"), F.col("_c_v").alias("v"))).over(order.rowsBetween(-window, -1))
-    return b.select(group, dt, F.filter(held, lambda s: F.col("_c_upto") - F.col("_c_n") - s["upto"] < window).alias("_c_w"))
+    held = F.collect_list(F.struct(F.col("_c_upto").alias("upto"), F.col("_c_n").alias("n"), F.col("_c_v").alias("v"))).over(order.rowsBetween(1 - window, 0) if own else order.rowsBetween(-window, -1))
+    upto = F.col("_c_upto") if own else F.col("_c_upto") - F.col("_c_n")
+    return b.select(group, dt, F.filter(held, lambda s: upto - s["upto"] < window).alias("_c_w"))
 
 
 def _back(df: DataFrame, stats: DataFrame, group: str, dt: str) -> DataFrame:
@@ -62,11 +64,30 @@ def _back(df: DataFrame, stats: DataFrame, group: str, dt: str) -> DataFrame:
 def windowed_robust_stats(df: DataFrame, group: str, amount: str, dt: str, window: int) -> DataFrame:
     """``prior_median``, ``prior_mad`` (raw) and ``prior_count_in_window`` (rows, null amounts too) over the latest whole buckets."""
     require_columns(df, group, amount, dt)
-    b = _buckets(df, group, dt, F.collect_list(F.col(amount).cast("double")), window)
+    return _back(df, _robust(df, group, amount, dt, window), group, dt)
+
+
+def _robust(df: DataFrame, group: str, amount: str, dt: str, window: int, own: bool = False) -> DataFrame:
+    b = _buckets(df, group, dt, F.collect_list(F.col(amount).cast("double")), window, own)
     b = b.withColumn("_c_s", F.array_sort(F.flatten(F.transform("_c_w", lambda s: s["v"])))).withColumn("prior_median", F.when(F.size("_c_s") > 0, _median(F.col("_c_s"))))
     mad = _median(F.array_sort(F.transform("_c_s", lambda x: F.abs(x - F.col("prior_median")))))
     rows = F.aggregate("_c_w", F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
-    return _back(df, b.select(group, dt, "prior_median", F.when(F.size("_c_s") > 0, mad).alias("prior_mad"), rows.alias("prior_count_in_window")), group, dt)
+    return b.select(group, dt, "prior_median", F.when(F.size("_c_s") > 0, mad).alias("prior_mad"), rows.alias("prior_count_in_window"))
+
+
+def windowed_robust_stats_in(df: DataFrame, history: DataFrame, group: str, amount: str, dt: str, window: int) -> DataFrame:
+    """As ``windowed_robust_stats``, for rows that only see ``history`` and never each other.
+
+    The statistics are taken once at each (group, dt) of the history; a row has those of the latest one before it.
+    """
+    require_columns(df, group, dt)
+    require_columns(history, group, amount, dt)
+    names = ("prior_median", "prior_mad", "prior_count_in_window")
+    known = _robust(history, group, amount, dt, window, own=True).select(group, dt, F.struct(*names).alias("_c_s"), F.lit(False).alias("_c_asks"))
+    asked = df.where(F.col(group).isNotNull() & F.col(dt).isNotNull()).select(group, dt).distinct().withColumn("_c_asks", F.lit(True))
+    found = known.unionByName(asked, allowMissingColumns=True).withColumn("_c_s", F.last("_c_s", ignorenulls=True).over(_before(group, dt))).where("_c_asks")
+    n = F.coalesce("_c_s.prior_count_in_window", F.lit(0).cast("bigint")).alias("prior_count_in_window")
+    return _back(df, found.select(group, dt, "_c_s.prior_median", "_c_s.prior_mad", n), group, dt)
 
 
 def prior_distinct_other(df: DataFrame, group: str, other: str, dt: str, name: str = "prior_distinct_other_count") -> DataFrame:

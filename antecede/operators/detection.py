@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from antecede.config import DetectionConfig
 from antecede.functions.columns import log1p_amount
-from antecede.operators.causal import windowed_robust_stats
+from antecede.operators.causal import windowed_robust_stats, windowed_robust_stats_in
 
 FLAGS = ("insufficient_history", "zero_mad", "scored_normal", "scored_outlier")
 
 
-def behavior_score(df: DataFrame, group: str, amount: str, dt: str, config: DetectionConfig | None = None) -> DataFrame:
-    """Adds ``amt_log1p``, the window's statistics, ``modified_zscore`` (null unless scored) and ``flag``."""
+def behavior_score(df: DataFrame, group: str, amount: str, dt: str, config: DetectionConfig | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Adds ``amt_log1p``, the window's statistics, ``modified_zscore`` (null unless scored) and ``flag``; the window is over ``df`` itself or a given history."""
     c = config or DetectionConfig()
-    out = windowed_robust_stats(df.withColumn("amt_log1p", log1p_amount(amount)), group, "amt_log1p", dt, c.window)
+    out = df.withColumn("amt_log1p", log1p_amount(amount))
+    if history is None:
+        out = windowed_robust_stats(out, group, "amt_log1p", dt, c.window)
+    else:
+        out = windowed_robust_stats_in(out, history.withColumn("amt_log1p", log1p_amount(amount)), group, "amt_log1p", dt, c.window)
     short = F.coalesce(F.col("prior_count_in_window"), F.lit(0)) < c.min_history
     flat = F.col("prior_mad").isNull() | (F.col("prior_mad") <= c.zero_mad_eps)
     z = F.when(~short & ~flat, c.scale * (F.col("amt_log1p") - F.col("prior_median")) / F.when(~flat, F.col("prior_mad")))

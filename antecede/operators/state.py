@@ -84,10 +84,8 @@ def score_inputs(state: State, requests: DataFrame, config=None, k: float = 20.0
     if "y" in requests.columns:
         raise ValueError("a request has no label")
     require_columns(requests, "id", "grp", "dt", "amt")
-    # requests never see each other: each stands in a group of its own with a copy of its key's buffer
-    mine = requests.select("id", "grp", "dt", "amt").withColumn("_own", F.col("id"))
-    history = state.buffer.join(mine.select("grp", "_own", F.col("dt").alias("_until")), "grp").where("dt < _until").select(F.lit(None).cast(mine.schema["id"].dataType).alias("id"), "grp", "dt", "amt", "_own")
-    scored = behavior_score(history.unionByName(mine.select("id", "grp", "dt", "amt", "_own")), "_own", "amt", "dt", config).where("id IS NOT NULL").drop("_own")
+    # requests see the buffer and never each other
+    scored = behavior_score(requests.select("id", "grp", "dt", "amt"), "grp", "amt", "dt", config, state.buffer)
     total = state.counters.agg(F.sum("n_positive").alias("_P"), F.sum("n_events").alias("_N"))
     rate = F.try_divide("_P", "_N")
     out = scored.join(state.counters, "grp", "left").crossJoin(F.broadcast(total))  # one row

@@ -380,7 +380,7 @@ def state_summary(s, d):
 @query()
 def score_requests(s, d):
     st, batch = _state(s, d)
-    return state.score_inputs(st, batch.where("dt >= 970000000").drop("y"))
+    return state.score_inputs(st, batch.drop("y"))
 
 
 def _monthly_edges(s, d):
