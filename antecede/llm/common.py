@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,12 +35,17 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or (only where it is unset, as in tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (as in tests) gets a temporary
+    folder; on a cluster that is an error, as no machine's own folder would do."""
     context = spark.sparkContext
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "antecede-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="antecede-")
     context.setCheckpointDir(path)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -85,5 +89,36 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: A key with at least this share of all rows is hot; so there are at most as many hot keys as its reciprocal.
+HOT_SHARE = 1 / 2048
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` left joined with ``table`` (one row a key; null keys meet nothing), without a hot key's rows in one task.
+
+    ``counts`` has the keys and ``_n``, their number of rows (counted here if not given). Hot keys, of which there are at most
+    ``1 / HOT_SHARE``, are broadcast with their row of ``table``; the others' rows are joined by key, and rows that are done are dealt evenly.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    more = [c for c in table.columns if c not in keys]
+    if not total:
+        return rows.join(table, keys, "left")
+    hot = counts.where((F.col("_n") >= total * HOT_SHARE) & F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()).select(*keys)
+    hot = stored(hot.join(table, keys, "left").select(*keys, F.struct(*more).alias("_hot")).coalesce(1), "hot-keys")
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.join(F.broadcast(hot), keys, "left").withColumn("_key", F.struct(*keys)).withColumn("_salt", F.when(F.col("_hot").isNotNull() | F.concat(*[F.col(k).cast("string") for k in keys]).isNull(), spread))
+    of = table.select(F.struct(*keys).alias("_of"), F.lit(0).cast("bigint").alias("_none"), F.struct(*more).alias("_cold"))
+    # a done row's second key is never 0, so it meets nothing and its first one only deals it out
+    first = first.withColumn("_salt", F.coalesce(F.when(F.col("_salt") == 0, 1).otherwise(F.col("_salt")), F.lit(0).cast("bigint")))
+    both = first.join(of, (F.col("_key") == F.col("_of")) & (F.col("_salt") == F.col("_none")), "left")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in more])
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], few: int) -> DataFrame:
+    """``rows`` left joined with the stored ``table`` (one row a key): sent to every task if it has at most ``few`` rows, else ``looked_up``."""
+    return rows.join(F.broadcast(table), keys, "left") if table.count() <= few else looked_up(rows, table, keys)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

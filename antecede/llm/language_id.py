@@ -11,7 +11,8 @@ Evidence for a row's language, multiplied as likelihoods and normalised:
 Every declared value whose rows have ``LEAST_CHARS`` characters of text together is a language, whatever its share. The trigram counts
 come from all rows of these languages, thin ones being smoothed; they are kept sparsely (a trigram has entries only for the
 languages that use it), so their number is not limited. The other tables are grouped counts over all rows of the language that the
-text alone speaks for. Only tables that grow with the languages but not with the rows leave Spark; hosts stay in a joined table.
+text alone speaks for. Only tables that grow with the languages but not with the rows leave Spark; hosts are a table that is sent to
+every task where it is measured small and joined otherwise, hot hosts apart.
 
 A row is accepted when its best language, not the background, has a posterior of ``threshold`` at least.
 A null or empty text, or one without letters, has no language (null) and is rejected. Null hosts, suffixes and
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antecede.llm.common import forget_others, rows_of, stored, whole
+from antecede.llm.common import forget_others, looked_up, rows_of, stored, whole
 
 #: Trigrams that a long text counts as.
 TEXT_WEIGHT = 60.0
@@ -37,6 +38,8 @@ TRIGRAM_COUNT, EVIDENCE_COUNT, PRIOR_COUNT = 0.05, 20.0, 10.0
 LEAST_CHARS = 1000
 #: Posterior from which on a row is accepted.
 THRESHOLD = 0.5
+#: Numbers of the evidence tables together up to which they are sent to every task (8 bytes each); beyond it rows are joined to theirs.
+BROADCAST_NUMBERS = 4_000_000
 _CODES = 1 << 18
 #: Trigrams that a task holds before it adds them up.
 _HELD = 1 << 21
@@ -137,7 +140,7 @@ def _best(column: str) -> Column:
 class Evidence:
     """The tables that documents are judged by."""
 
-    def __init__(self, scored: DataFrame, names: list[str]):
+    def __init__(self, scored: DataFrame, names: list[str], broadcast_numbers: int = BROADCAST_NUMBERS):
         n = len(names)
         self.names = names
         spoken = scored.where("_ll IS NOT NULL").withColumn("_l", _best("_ll"))
@@ -145,14 +148,16 @@ class Evidence:
         total = {r._l: r["count"] for r in counts.groupBy("_l").count().collect()}
         everything = sum(total.values())
         self.prior = [(total.get(k, 0) + 1.0) / (everything + n) for k in range(n)]
-        #: Log likelihoods of a declared language and of a suffix, by language.
-        self.declared = self._likelihood(counts, "_declared", total, n)
-        self.suffix = self._likelihood(counts, "_suffix", total, n)
         prior = F.array(*[F.lit(p) for p in self.prior])
         smooth = lambda above: F.transform("_by", lambda c, k: (c + PRIOR_COUNT * F.get(above, k)) / (F.col("_n") + PRIOR_COUNT))
         suffixes = self._counts(counts, n, "_suffix").select("_suffix", smooth(prior).alias("_above"))
         hosts = self._counts(counts, n, "_host", "_suffix").join(suffixes, "_suffix")
-        self.hosts = hosts.select("_host", "_suffix", F.transform(smooth(F.col("_above")), lambda x: F.log(x)).alias("_prior"))
+        hosts = hosts.select("_host", "_suffix", F.transform(smooth(F.col("_above")), lambda x: F.log(x)).alias("_prior"))
+        self.tables = [(["_host", "_suffix"], stored(hosts, "hosts"))]
+        #: Log likelihoods of a declared language and of a suffix, by language.
+        self.tables += [([c], stored(self._likelihood(counts, c, total, n), "evidence")) for c in ("_declared", "_suffix")]
+        #: Whether all tables can be sent to every task.
+        self.small = sum(t.count() for _, t in self.tables) * (n + 4) <= broadcast_numbers
 
     @staticmethod
     def _counts(counts: DataFrame, n: int, *by: str) -> DataFrame:
@@ -172,7 +177,9 @@ class Evidence:
         n = len(self.names)
         none = F.array(*[F.lit(0.0)] * n)
         prior = F.array(*[F.lit(float(np.log(p))) for p in self.prior])
-        joined = scored.join(self.hosts, ["_host", "_suffix"], "left").join(self.declared, "_declared", "left").join(self.suffix, "_suffix", "left")
+        joined = scored
+        for keys, table in self.tables:
+            joined = joined.join(F.broadcast(table), keys, "left") if self.small else looked_up(joined, table, keys)
         parts = F.arrays_zip(F.slice("_ll", 1, n).alias("t"), F.coalesce("_prior", prior).alias("h"), F.coalesce("_declared_ll", none).alias("d"), F.coalesce("_suffix_ll", none).alias("s"))
         mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / n  # noqa: E731  the background knows neither host nor declared language
         background = F.element_at("_ll", n + 1) + F.least(mean(F.coalesce(F.col("_prior"), prior)) + mean(F.coalesce(F.col("_declared_ll"), none)) + mean(F.coalesce(F.col("_suffix_ll"), none)), F.lit(0.0))
@@ -185,22 +192,38 @@ class Evidence:
         return out.withColumn("accepted", F.col("predicted").isNotNull() & (F.col("confidence") >= threshold)).drop("_score", "_k", "_most", "_ll", "_prior", "_declared_ll", "_suffix_ll", "_host", "_suffix", "_declared")
 
 
+#: Columns that the result adds; columns of these names are replaced.
+ADDED = ("predicted", "confidence", "accepted")
+
+
 def prepared(docs: DataFrame, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    return docs.drop("predicted", "confidence", "accepted").withColumns({"_declared": whole(declared), "_host": whole(host), "_suffix": whole(suffix)})
+    return docs.drop(*ADDED).withColumns({"_declared": whole(declared), "_host": whole(host), "_suffix": whole(suffix)})
+
 
+def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_col: str = "text", keep_text: bool = False, threshold: float = THRESHOLD, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """Columns of ``docs`` (the text only if asked for) with ``predicted``, ``confidence``, ``accepted``.
 
-def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_col: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of ``docs`` (the text only if asked for) with ``predicted``, ``confidence``, ``accepted``."""
+    Texts that are kept do not travel with the evidence: with few hosts a second pass judges them where they are read; else
+    rows are judged without their text, and each text gets the decision of its evidence's 128-bit hash.
+    """
+    kept = [c for c in docs.columns if c not in (*ADDED, *([] if keep_text else [text_col]))]
+    result = [*[F.col(f"`{c}`") for c in kept], *ADDED]
     ready = prepared(docs, declared, host, F.lit("") if suffix is None else suffix)
     names = languages(ready, F.col("_declared"), text_col)
     if not names:
-        return ready.drop("_declared", "_host", "_suffix", *([] if keep_text else [text_col])).withColumns({"predicted": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
+        return ready.withColumns({"predicted": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)}).select(*result)
     model = train(ready, names, text_col, F.col("_declared"))
-    if keep_text:  # texts are scored twice rather than shuffled or written
-        slim = stored(text_evidence(ready.select("_declared", "_host", "_suffix", text_col), model, text_col, False), "languages")
-        return Evidence(slim, names).judge(text_evidence(ready, model, text_col, True), threshold).select(*[c for c in docs.columns if c not in ("predicted", "confidence", "accepted")], "predicted", "confidence", "accepted")
-    scored = stored(text_evidence(ready, model, text_col, False), "languages")
-    return Evidence(scored, names).judge(scored, threshold)
+    if not keep_text:
+        scored = stored(text_evidence(ready, model, text_col, False), "languages")
+        return Evidence(scored, names, broadcast_numbers).judge(scored, threshold).select(*result)
+    evidence_of = ("_declared", "_host", "_suffix", text_col)
+    ready = ready.withColumn("_mark", F.struct(F.xxhash64(*evidence_of), F.xxhash64(F.lit(1), *evidence_of)))
+    slim = stored(text_evidence(ready.select(*evidence_of, "_mark"), model, text_col, False), "languages")
+    evidence = Evidence(slim, names, broadcast_numbers)
+    if evidence.small:
+        return evidence.judge(text_evidence(ready.drop("_mark"), model, text_col, True), threshold).select(*result)
+    judged = stored(evidence.judge(slim, threshold).select("_mark", *ADDED).dropDuplicates(["_mark"]), "judged")
+    return looked_up(ready, judged, ["_mark"], slim.groupBy("_mark").agg(F.count("*").alias("_n"))).select(*result)
 
 
 def identify_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:

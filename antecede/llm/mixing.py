@@ -23,10 +23,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import stored, whole
+from antecede.llm.common import attached, stored, whole
 
 #: Hexadecimal digits of a hash that name a bucket of the order.
 BUCKET_DIGITS = 3
+#: Leaves up to which their budgets are sent to every task; beyond it rows are joined to theirs, hot leaves apart.
+BROADCAST_LEAVES = 50_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -97,17 +99,17 @@ def leaf_cutoffs(slim: DataFrame, names: Sequence[str], weights: Mapping, budget
     given = leaf_budgets(leaves, names, weights, budget, max_epochs, default_weight)
     given = given.withColumn("_epoch", F.when(F.col("_tokens") > 0, F.floor(F.col("_budget") / F.col("_tokens"))).otherwise(0).cast("long")).withColumn("_rest", F.col("_budget") - F.col("_epoch") * F.col("_tokens"))
     given = stored(given.select(*names, "_epoch", "_rest"), "mixing-leaves")
-    keyed = slim.join(given, list(names)).where("_rest > 0").withColumn("_key", _key(seed, id_col)).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    keyed = attached(slim, given, list(names), BROADCAST_LEAVES).where("_rest > 0").withColumn("_key", _key(seed, id_col)).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     sums = keyed.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_n"), F.first("_rest").alias("_rest"))
     order = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ending = sums.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_n") > F.col("_rest"))).select(*names, "_bucket", "_before")
     ending = stored(ending, "mixing-ends")
     last = keyed.join(ending, [*names, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(Window.partitionBy(*names, "_bucket").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)))
     last = last.groupBy(*names, "_bucket").agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_last")).select(*names, F.coalesce("_last", "_bucket").alias("_last"))
-    return given.join(last, list(names), "left").select(*names, "_epoch", F.when(F.col("_rest") > 0, F.col("_last")).otherwise("").alias("_last"))
+    return stored(given.join(last, list(names), "left").select(*names, "_epoch", F.when(F.col("_rest") > 0, F.col("_last")).otherwise("").alias("_last")), "mixing-cutoffs")
 
 
 def with_copies(rows: DataFrame, cutoffs: DataFrame, names: Sequence[str], seed: int, id_col: str) -> DataFrame:
-    joined = rows.join(cutoffs, list(names), "left")
+    joined = attached(rows, cutoffs, list(names), BROADCAST_LEAVES)
     copies = F.coalesce(F.col("_epoch") + (_key(seed, id_col) <= F.col("_last")).cast("long"), F.lit(0).cast("long"))
     return joined.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in rows.columns], "copies")
