@@ -37,8 +37,9 @@ def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of ``embeddings`` as recordings (``melody``); every hundredth asks for all that align with it."""
-    return audio_fingerprint.search(load(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", "embedding", audio_fingerprint.melody)
+    """The vectors of ``embeddings`` as recordings (``melody``); every hundredth asks for all that align with it, one row a query
+    and thousand matches."""
+    return audio_fingerprint.report(load(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", "embedding", audio_fingerprint.melody)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
