@@ -17,12 +17,13 @@ The join partitions the space by pivots, in two kinds of levels:
    excluded pairs that miss too many. In a larger one the most central member becomes the pivot, and the exact distance of the other members to it is computed; those within ``eps`` link to it. That closes a region whose members are all connected, as in a group of near copies,
    however large. Else it is joined recursively: pivots leave, more are taken (of the smallest components, and the most central ones), and by the
    triangle inequality a member is only compared with a new pivot when its distance to the first pivot differs by at most ``eps``
-   from the new pivot's, and when the two are not connected yet. The recursion ends when every region is closed, so the join is exact.
+   from the new pivot's, when the bits of their signatures allow a link, and when the two are not connected yet. The recursion ends when every region is closed, so the join is exact.
 
 Equal sets are one member from the start. Links are exact: ``100 * |A & B| >= percent * |A | B|`` on 64-bit shingle hashes.
 
 Definitions: words are maximal runs of characters other than ASCII white space, A-Z in lower case; a text with fewer words than a shingle is one
-shingle; null, empty and blank texts have empty sets and link with nothing. Rows that share an id are one node.
+shingle; null, empty and blank texts have empty sets and link with nothing. Rows that share an id are told apart: each has the
+component of its own set. Null ids are greater than others. Other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import drop_stored, forget_others, rows_of, stored, whole
+from antecede.llm.common import drop_stored, forget_others, looked_up, rows_of, stored, whole
 from antecede.llm.components import components
 from antecede.llm.shingles import shingle_sets
 
@@ -49,6 +50,8 @@ PIVOTS = 16
 #: Ids of documents whose sets are needed, up to which they are sent to every task (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _TEXTS = 64
+#: Bits of a set's signature (a multiple of 64): each shingle sets one.
+SIGNATURE = 1024
 
 
 def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
@@ -84,8 +87,15 @@ def _ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((levels[(found & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(57)) | (found >> np.uint64(7)))
 
 
+def _signature(found: np.ndarray) -> list[int]:
+    """``SIGNATURE`` bits as 64-bit words; a bit that one set has and another has not stands for a shingle that the other misses."""
+    bits = np.zeros(SIGNATURE, bool)
+    bits[((found >> np.uint64(20)) % np.uint64(SIGNATURE)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, eps: float) -> DataFrame:
-    """``row, id, n, same, first``: each document's set size, its set's hash, and the shingles whose regions it joins."""
+    """``row, id, n, same, sig, first``: each document's set size, its set's hash, its signature, and the shingles whose regions it joins."""
     counts = _sketch(docs, text_col, size)
     levels = docs.sparkSession.sparkContext.broadcast(np.minimum(np.ceil(np.log2(counts + 1) * 2), 63).astype(np.uint8))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -96,15 +106,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, eps: float) ->
         for batch in batches:
             for i in range(0, batch.num_rows, 8 * _TEXTS):
                 part = batch.slice(i, 8 * _TEXTS)
-                n, same, first = [], [], []
+                n, same, sig, first = [], [], [], []
                 for k in range(0, part.num_rows, _TEXTS):
                     for found in shingle_sets(part.column(1).slice(k, _TEXTS).to_pylist(), size):
                         n.append(len(found))
                         same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                        sig.append(_signature(found))
                         first.append(_ordered(found, table)[: int(eps * len(found) + 1e-9) + 1 if len(found) else 0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "same", "first"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["id", "n", "same", "sig", "first"])
 
-    rows = docs.select(F.col(id_col), whole(text_col)).mapInArrow(run, f"id {kind}, n bigint, same binary, first array<bigint>")
+    rows = docs.select(F.col(id_col), whole(text_col)).mapInArrow(run, f"id {kind}, n bigint, same binary, sig array<bigint>, first array<bigint>")
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -183,11 +194,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     members = stored(sets.join(members, "row"), "set-members")
     links = _link(docs, members, id_col, text_col, size, percent, eps, direct, pivots)
     labels = components(links)
-    # equal sets share their member's component; an id with several sets joins them
-    of_set = members.select("same", "row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("component", "row").alias("_c"))
-    placed = sets.select("row", "id", "n", "same").join(of_set, "same", "left").withColumn("_c", F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("row")))
+    # equal sets share their member's component; a set that many rows have, and a component of many rows, are looked up apart
+    of_set = members.select("same", "row").join(labels.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("component", "row").alias("_of"))
+    placed = looked_up(sets.select("row", "id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")), of_set, ["same"])
+    placed = stored(placed.select("id", "n", F.coalesce("_of", "row").alias("_c")), "placed")
     least = placed.groupBy("_c").agg(F.min("id").alias("component_id"))
-    out = placed.join(least, "_c")
+    out = looked_up(placed, least, ["_c"])
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -207,14 +219,21 @@ def _near(percent: int) -> Column:
     return (most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent) & ~(F.col("low") & F.col("low2"))
 
 
+def _alike(percent: int) -> Column:
+    """Whether two members' signatures leave room for a link: neither has more bits of its own than it may have shingles of its own."""
+    own = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda t, k: t + k)
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
+    return (own("sig", "sig2") <= F.col("n") - need) & (own("sig2", "sig") <= F.col("n2") - need)
+
+
 def _with_sizes(spread: DataFrame) -> DataFrame:
     """Members of regions that have two at least, one of them in its own ring, with the number of them."""
     return spread.join(spread.groupBy("region").agg(F.count("*").alias("m"), F.min("low").alias("_own")).where("m > 1 AND NOT _own").select("region", "m"), "region")
 
 
 #: Columns of a region's members, and the names they have as a pivot's.
-_MEMBER = ("region", "row", "n", "at", "low", "score", "far")
-_PIVOT_NAMES = {"row": "pivot", "n": "n2", "at": "at2", "low": "low2", "component": "_pc", "far": "far2"}
+_MEMBER = ("region", "row", "n", "sig", "at", "low", "score", "far")
+_PIVOT_NAMES = {"row": "pivot", "n": "n2", "sig": "sig2", "at": "at2", "low": "low2", "component": "_pc", "far": "far2"}
 
 
 def _first_pivots(now: DataFrame) -> DataFrame:
@@ -259,6 +278,7 @@ def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size:
     links = stored(linked(_distances(pairs, sets)), "links")
     drop_stored(sets)
     large = large.where(F.col("m") > direct)
+    large = large.join(members.select("row", "sig"), "row")
     open_, sets, take = large.join(large.groupBy("row").agg(F.sum("m").alias("score")), "row").withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), None, pivots
     old: list[DataFrame] = []
     while True:
@@ -275,14 +295,14 @@ def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size:
             sets = _whole_sets(now.select("row"), docs, members, id_col, text_col, size)
         chosen = stored(_first_pivots(now) if first else _more_pivots(now, take), "pivots")
         near = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= eps + 1e-9, F.lit(True))
-        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc")) & _near(percent) & near)
+        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc")) & _near(percent) & near & _alike(percent))
         facing = stored(facing.select("region", "row", F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "facing")
         wanted = facing.select("a", "b").distinct()
         measured = stored(_distances(wanted if first else _not_excluded(wanted, members, percent), sets), "distances")
         old += [now, chosen, facing, measured, links]
         links = stored(links.union(linked(measured)), "links")
         rest = now.join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
-        if first:
+        if first:  # the distance to a pivot that a member faced; unknown to members that cannot link to it
             far = facing.join(measured, ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far"))
             rest = rest.drop("far").join(far, ["region", "row"], "left")
         else:
