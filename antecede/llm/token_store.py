@@ -16,7 +16,10 @@ ids' text (equal rows are the same either way). Null ids come first.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,15 +28,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import load, rows_of, scratch, whole
+from antecede.llm.common import attached, forget_others, load, remembers, scratch, stored, whole
 
 SEGMENT = 1 << 17
+#: Segments up to which their starts are sent to every task.
+BROADCAST_SEGMENTS = 500_000
 RANK_EVERY = 512
 _MAGIC = b"DAC1"
-#: Remembered chunks of text between white space, for each worker; full tables start anew.
-CHUNKS = 800_000
-#: A character with one id of its own, between chunks that are encoded together, and how many are.
-MARK, TOGETHER = "★", 64
+#: Remembered chunks of text between white space, and pieces of them, for each worker; full tables start anew.
+CHUNKS, PIECES = 1_000_000, 800_000
+# The rules of files that lower-case and keep letter runs, single digits, runs of other characters and some endings.
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+)
+#: Below it no character joins another one in composed form, and letters and digits are the same in every Unicode version.
+_PLAIN = "\u0300"
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(ord(_PLAIN)) if unicodedata.category(chr(c))[0] == kind)
+
+
+_SPLIT = re.compile(rf"{_ENDINGS}|[{_class('L')}]+|[{_class('N')}]|[^\x09-\x0D\x20\x85\xA0{_class('L')}{_class('N')}]+")
+#: How a byte is shown in byte-level vocabularies: printable ones as they are, the others from U+0100 on in order.
+_KEPT = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+_SHOWN = {c: 256 + k for k, c in enumerate(sorted(set(range(256)) - set(_KEPT)))}
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -101,8 +129,28 @@ class Codes:
         return out
 
 
-class ChunkEncoder:
-    """Ids of a text by a ``tokenizers`` file whose pre-tokens hold no white space: chunks between spaces and newlines are encoded once."""
+class _Pieces(dict):
+    """Ids (as little-endian 32-bit integers) of the pieces that the pre-tokenizer makes, by the model alone."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        plain = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SHOWN)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        own = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return own
+
+
+class ChunkEncoder(dict):
+    """Ids of texts by a ``tokenizers`` file whose pre-tokens hold no white space: ids of each chunk between spaces and newlines.
+
+    A chunk that is not remembered is cut as the file's normalizer and pre-tokenizer would cut it, where it has only characters
+    below ``_PLAIN`` (they are in composed form and lower-cased one by one); its pieces go to the file's model. Other chunks, those
+    with special tokens' marks, and all chunks of files with other rules go through the whole tokenizer. Tables are bounded and start anew when full.
+    """
 
     _of: dict[str, ChunkEncoder] = {}
 
@@ -110,53 +158,38 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        for probe in ("two words", "a\nb  c\r\n d", "it's été ΣΣ x", "1234 ?!…"):
+        rules = json.loads(self.tokenizer.to_str())
+        self.cut = _SPLIT.findall if (rules["normalizer"], rules["pre_tokenizer"], rules["post_processor"]) == _RULES else None
+        self.pieces = _Pieces(self.tokenizer.model)
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        for probe in ("two words", "a\nb  c\r\n d", "it's été ΣΣ x", "1234 ?!…", "O'Neill's x²½_y\u00a0Z\x85q İſ \x00\x7f\xad", "".join(map(chr, range(1, 0x300)))):
             if self.ids(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
                 raise ValueError(f"this tokenizer joins chunks across white space: {probe!r}")
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
+        """This worker's encoder, made once; it is forgotten when another operator's task starts here."""
+        remembers("chunk-encoder", cls._of.clear)
         if path not in cls._of:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CHUNKS:
+            self.clear()
+        lower = chunk.lower()
+        if self.cut and (chunk.isascii() or max(chunk) < _PLAIN > max(lower)) and not any(map(chunk.__contains__, self.special)):
+            own = b"".join(map(self.pieces.__getitem__, self.cut(lower)))
+        else:
+            own = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = own
+        return own
+
     def ids(self, text: str) -> list[int]:
-        return self.batch([text])[0].tolist()
-
-    def _learn(self, new: list[str]) -> None:
-        known, encode = self.known, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False)
-        alone = new
-        if self.mark is not None:
-            alone = [w for w in new if MARK in w]
-            plain = [w for w in new if MARK not in w] if alone else new
-            groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-            for group, e in zip(groups, encode([f" {MARK} ".join(g) for g in groups]), strict=True):
-                ids = np.array(e.ids, "<u4")
-                marks = np.flatnonzero(ids == self.mark).tolist()
-                if len(marks) + 1 != len(group):
-                    alone += group
-                    continue
-                data, at = ids.tobytes(), 0
-                for w, end in zip(group, [*marks, len(ids)], strict=True):
-                    known[w] = data[4 * at : 4 * end]
-                    at = end + 1
-        for w, e in zip(alone, encode(alone), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        all_ = set().union(*cut)
-        new = all_ - known.keys()
-        if len(known) + len(new) > CHUNKS:
-            known.clear()
-            new = all_
-        if new:
-            self._learn(list(new))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
+        return self.encode(text).tolist()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
@@ -168,6 +201,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_others("chunk-encoder")
         encoder, part, seq = ChunkEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
         names, starts, ids, size, end = [], [], [], 0, np.array([end_id], np.uint32)
 
@@ -180,7 +214,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
             id_type = batch.column(0).type
             for i in range(0, batch.num_rows, 128):
                 some = batch.slice(i, 128)
-                for name, own in zip(some.column(0).to_pylist(), encoder.batch(some.column(1).to_pylist()), strict=True):
+                for name, own in zip(some.column(0).to_pylist(), map(encoder.encode, some.column(1).to_pylist()), strict=True):
                     names.append(name)
                     starts.append(size)
                     ids += (own, end)
@@ -195,14 +229,40 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     sorted_.mapInArrow(run, f"part int, seq int, n_tokens bigint, ids array<{kind}>, starts array<int>, codes binary").write.option("compression", "uncompressed").parquet(path)
 
 
-def read_store(spark, path: str) -> DataFrame:
-    """The segments of a store with ``start``, the number of ids before each: part sums first, then sums within a part."""
-    segments = spark.read.parquet(path)
-    sizes = segments.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
+def _starts(segments: DataFrame) -> DataFrame:
+    """``part, seq, n_tokens, start``: sums of parts first, then sums within a part."""
+    slim = segments.select("part", "seq", "n_tokens")
+    sizes = slim.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
     before = sizes.select("part", (F.sum("_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_before"))
-    within = segments.select("part", "seq", "n_tokens").withColumn("_within", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    starts = within.join(before, "part").select("part", "seq", (F.col("_before") + F.col("_within")).alias("start"))
-    return segments.join(starts, ["part", "seq"])
+    within = slim.withColumn("_within", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    return within.join(before, "part").select("part", "seq", "n_tokens", (F.col("_before") + F.col("_within")).alias("start"))
+
+
+def read_store(spark, path: str, broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
+    """The segments of a store with ``start``, the number of ids before each; codes are only moved where there are very many segments."""
+    segments = spark.read.parquet(path)
+    return attached(segments, stored(_starts(segments).drop("n_tokens"), "segment-starts"), ["part", "seq"], broadcast_segments)
+
+
+def tokens_at(spark, path: str, positions: DataFrame) -> DataFrame:
+    """``position, token`` of each distinct ``position`` (counted over the whole store; those outside it have no row), read from the
+    segment's chunks by its bitmaps and rank directories. Positions find their segment by equi-join on stretches of ``SEGMENT`` ids."""
+    segments = spark.read.parquet(path)
+    starts = _starts(segments)
+    stretch = lambda c: F.floor(c / SEGMENT)
+    over = starts.select("part", "seq", "start", (F.col("start") + F.col("n_tokens")).alias("_end")).withColumn("_at", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("_end") - 1))))
+    asked = positions.select("position").distinct().withColumn("_at", stretch(F.col("position"))).join(over, "_at").where("position >= start AND position < _end")
+    asked = asked.groupBy("part", "seq", "start").agg(F.collect_list("position").alias("positions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes, wanted = Codes(batch.column(2)[k].as_buffer().to_pybytes()), batch.column(1)[k].values
+                start = batch.column(0)[k].as_py()
+                yield pa.RecordBatch.from_arrays([wanted, pa.array([codes[i - start] for i in wanted.to_pylist()], pa.int64())], ["position", "token"])
+
+    return asked.join(segments.select("part", "seq", "codes"), ["part", "seq"]).select("start", "positions", "codes").mapInArrow(run, "position bigint, token bigint")
 
 
 def document_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
