@@ -16,4 +16,4 @@ from antecede.llm import html_wrappers
 )
 def test_names_of_what_an_element_has(page):
     wrapper = html_wrappers.expression(html_wrappers.parse(page))
-    assert html_wrappers.main_text(page, wrapper, html_wrappers._kinds(wrapper)) == "text"
+    assert html_wrappers.main_text(page, html_wrappers.Wrapper(wrapper)) == "text"
