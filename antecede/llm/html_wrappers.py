@@ -14,7 +14,7 @@ own name, and for nameless containers whether they hold links, prose, plain text
 The wrapper decides (``decide``): the main element is found from the page down, into the container that holds at least ``SHARE`` of the prose
 (characters in slots, without links), an article, main or content element counting twice; the way ends at an article, and where a heading would be left
 behind. A page is then read along its host's wrapper: its texts in the main element's slots are the main text. Template texts go
-where slots hold more than the template does (else all pages are copies), and so do lists of links in containers outside articles. Tags and names only settle the rest: menus, headers,
+where they are a small part beside the slots (else many pages are copies), and so do lists of links in containers outside articles. Tags and names only settle the rest: menus, headers,
 footers, sidebars, adverts, forms and comments by their tags and by names in ``_OUTSIDE`` go; an element with a name in ``_WEAK`` (``related``, ``share``, ``alert``)
 stays if its slots hold prose. Pages without the host's main element are read by the wrapper of their own.
 
@@ -47,6 +47,8 @@ DEEPEST = 150
 LEAST_PAGES = 5
 #: Share of an element's prose that leads on to a child; share of links from which on texts are a list of links.
 SHARE, LINKS = 0.5, 0.6
+#: Template texts of the main element, as a share of its prose, up to which they go; beyond it they come from copies of pages.
+TEMPLATE = 0.25
 #: Characters of a text that is prose, on average.
 PROSE = 40
 #: Items of one element in a wrapper, and pairs of items that are compared one by one.
@@ -421,7 +423,7 @@ class Wrapper:
             in_article = at[1].split(".")[0] == "article"
         self.main = at
         prose, constant, _, _ = self.sums(at)
-        self._mark(at[2], not self.copies and prose > constant, _is_root(at[1]))
+        self._mark(at[2], not self.copies and constant <= TEMPLATE * prose, _is_root(at[1]))
 
     def _mark(self, items: list, template_goes: bool, in_article: bool) -> None:
         for item in self.children(items):
