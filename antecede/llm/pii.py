@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction (operator 2), with DataFrame operations only.
 
 Four kinds of plain entities (email, ip, card, phone) are found by pattern and checked; they are always kept. Every token with a digit or an at
-sign is an instance. Tokens that are a plain entity, and ones of 32 letters and digits or more with eight of each (secrets), are seeds;
-short tokens, small numbers, versions, dates and times are known to be none; the others are open. Instances meet lexical patterns: their form, and the
-words around them with their form's class (the word before, the two words before, the word after; tokens without letters or digits, as an
-equals sign, are skipped). Over the graph of patterns and distinct instances Spark iterates:
+sign is an instance. Plain entities, and tokens of 32 letters and digits or more with eight of each (secrets), are seeds;
+short tokens, small numbers, versions, dates and times are known to be none; the others are open. Instances meet lexical patterns: the two words before
+them, the words on both sides, their form, and the word before or after with their form's class (tokens without letters or digits, as an
+equals sign, are skipped; entities of several tokens only have the first two). Over the graph of patterns and distinct instances Spark iterates:
 
 * a pattern with ``MIN_SEEDS`` seeds or found instances has the confidence ``p / (p + n + SMOOTH)``, ``p`` being the sum of their
   scores and ``n`` the instances known to be none; patterns from ``MIN_CONFIDENCE`` on are kept;
@@ -62,7 +62,7 @@ def matches(text: Column, pattern: str) -> Column:
     none, zero = F.expr("cast(array() as array<bigint>)"), F.lit(0).cast("bigint")
 
     def pieces(found: Column) -> Column:
-        zipped = F.arrays_zip(found["hits"].alias("hit"), found["gaps"].alias("before"), F.slice(found["gaps"], 2, 2147483647).alias("after"))
+        zipped = F.arrays_zip(found["hits"].alias("hit"), found["gaps"].alias("before"), F.slice(found["gaps"], 2, F.size(found["gaps"])).alias("after"))
         return F.filter(zipped, lambda x: x["hit"].isNotNull())
 
     def blocks(all_: Column) -> Column:
@@ -114,7 +114,9 @@ def _valid(kind: str, hit: Column) -> Column:
 
 def _checked(found: Column, rank: int, kind: str) -> Column:
     good = F.filter(found, lambda m: _valid(kind, m["hit"]))
-    return F.transform(good, lambda m: F.struct(F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
+    several = lambda m: F.array_compact(F.array(*_around(m, None)))  # noqa: E731  tokens that are an entity have their patterns in ``found``
+    patterns = lambda m: F.when(F.contains(m["hit"], F.lit(" ")), several(m))
+    return F.transform(good, lambda m: F.struct(F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"), patterns(m).alias("patterns")))
 
 
 def _number_of(spans: str, rank: int) -> Column:
@@ -122,14 +124,14 @@ def _number_of(spans: str, rank: int) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """``array<struct<rank, start, end, hit>>`` of the plain entities, by kind and start."""
+    """``array<struct<rank, start, end, hit, patterns>>`` of the plain entities, by kind and start; those of several tokens with their patterns."""
     parts = []
     for rank, kind in enumerate(BASE):
         found = _checked(matches(text, PATTERNS[kind]), rank, kind)
         needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
         if kind != "email":
             needed = needed & F.rlike(text, F.lit("[0-9]"))
-        parts.append(F.when(needed, found).otherwise(F.expr("cast(array() as array<struct<rank:int,start:bigint,end:bigint,hit:string>>)")))
+        parts.append(F.when(needed, found).otherwise(F.expr("cast(array() as array<struct<rank:int,start:bigint,end:bigint,hit:string,patterns:array<string>>>)")))
     return F.concat(*parts)
 
 
@@ -172,15 +174,18 @@ def _words(text: Column) -> Column:
 CONTEXT = 160
 
 
-def _patterns(m: Column, token: Column) -> Column:
-    form = _form(token)
-    cls = _class(token, form)
+def _around(m: Column, cls: Column | None) -> list[Column]:
+    """The patterns of the words around a span: two words before, one before and one after; with a class of forms also one before, one after."""
     left = _words(F.regexp_replace(F.substring(F.concat(F.lit(" "), m["before"]), -CONTEXT, CONTEXT), r"^\S++\s", " "))
     right = _words(F.regexp_replace(F.substring(F.concat(m["after"], F.lit(" ")), 1, CONTEXT), r"\s\S++$", " "))
-    one, two = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^")), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^"))
-    after = F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("$"))
-    words = [F.concat_ws(" ", F.lit("L"), one, cls), F.concat_ws(" ", F.lit("LL"), two, one, cls), F.concat_ws(" ", F.lit("R"), after, cls)]
-    return F.filter(F.array(F.concat_ws(" ", F.lit("F"), form), *words), lambda p: ~F.rlike(p, F.lit(r"^(L|LL|R) (\^ )*[\^$] ")))
+    one, two, after = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.try_element_at(right, F.lit(1))
+    of = lambda *parts: F.when(reduce(lambda x, y: x & y, [p.isNotNull() for p in parts[1:]]), F.concat_ws(" ", F.lit(parts[0]), *parts[1:]))
+    return [of("LL", two, one), of("B", one, after), *([] if cls is None else [of("L", one, cls), of("R", after, cls)])]
+
+
+def _patterns(m: Column, token: Column) -> Column:
+    form = _form(token)
+    return F.array_compact(F.array(F.concat_ws(" ", F.lit("F"), form), *_around(m, _class(token, form))))
 
 
 def _instance(m: Column) -> Column:
@@ -198,10 +203,12 @@ def _instance(m: Column) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``row, id, base, found``: entities and instances of every whole text, the latter with their patterns; the only pass over the texts."""
     text = F.col("_text")
-    base = F.transform("base", lambda m: F.struct(m["rank"].alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
     with_text = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("_text"))
     found = F.filter(F.transform(F.when(F.rlike(text, F.lit("[0-9@]")), matches(text, _CANDIDATE)), _instance), lambda m: m["end"] > m["start"])
-    out = with_text.select("id", base_spans(text).alias("base"), found.alias("found")).withColumn("base", base)
+    out = with_text.select("id", base_spans(text).alias("base"), found.alias("found"))
+    spans = F.transform("base", lambda m: F.struct(m["rank"].alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
+    seeds = F.transform(F.filter("base", lambda m: m["patterns"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"), m["rank"].alias("label"), m["patterns"].alias("patterns")))
+    out = out.select("id", spans.alias("base"), F.concat(seeds, F.coalesce("found", F.slice(seeds, 1, 0))).alias("found"))
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
 
 
