@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions.columns import require_columns
-from antecede.llm.common import stored
-from antecede.llm.components import FEW_LINKS, components
+from antecede.operators.components import FEW_LINKS, components
+from antecede.storage import stored
 
 
 class DisjointSet:
