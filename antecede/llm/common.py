@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from antecede.storage import cut, drop_stored, scratch, shared_dir, stored
+
+__all__ = ["cut", "drop_stored", "scratch", "shared_dir", "stored"]
+
 #: Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE = 256
 
@@ -22,9 +26,16 @@ def remembers(owner: str, forget: Callable[[], None]) -> None:
 
 
 def forget_others(owner: str = "") -> None:
-    """Frees what other operators remember in this worker; for the start of a task, so that stages in one worker do not add up."""
+    """Frees what other operators remember in this worker and hands it back to the system; for the start of a task, so that stages in one
+    worker do not add up."""
     for name in [n for n in _forget if n != owner]:
         _forget.pop(name)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,50 +45,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (as in tests) gets a temporary
-    folder; on a cluster that is an error, as no machine's own folder would do."""
-    context = spark.sparkContext
-    have = context._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="antecede-")
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and its columns can be pruned."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def rows_of(column: pa.Array, step: int = SLICE) -> Iterator:
     """Python values of an Arrow column, a few at a time."""
     for i in range(0, len(column), step):

@@ -27,7 +27,7 @@ from antecede.llm.common import forget_others, remembers, rows_of, whole
 
 MARK = "▁"
 #: Entries of the tables of remembered units and pairs; full ones start anew.
-UNITS, PAIRS = 500_000, 1_000_000
+UNITS, PAIRS = 300_000, 600_000
 #: Longer units are encoded each time.
 LONGEST_UNIT = 48
 _PROBES = ("", " ", "  two  spaces ", "line\nline\r\n\tend", "naïve 漢字 \U0001f600 ͸", "1234567.89", "aaaaaaaaaaaaaaaaa", "<s> </s> <unk> <0x41>")
