@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from antecede.config import DetectionConfig
 from antecede.functions.columns import log1p_amount
 from antecede.operators.causal import windowed_robust_stats, windowed_robust_stats_in
+from antecede.operators.profile import ratio
+from antecede.operators.stats import score_metrics
 
 FLAGS = ("insufficient_history", "zero_mad", "scored_normal", "scored_outlier")
 
@@ -30,3 +32,13 @@ def behavior_score(df: DataFrame, group: str, amount: str, dt: str, config: Dete
 def flag_coverage(scored: DataFrame, by: str) -> DataFrame:
     """Rows and share of each flag, by partition; flags that do not occur have 0."""
     return scored.groupBy(by).agg(F.count("*").alias("n_rows"), *[(F.count_if(F.col("flag") == f) * 100.0 / F.count("*")).alias(f"pct_{f}") for f in FLAGS])
+
+
+def evaluate_validation_only(scored: DataFrame, target: str, part: str = "part") -> DataFrame:
+    """One row: numbers and target rates of outliers and normal rows, and the AUC of abs(z). Rows of any other partition raise ValueError."""
+    if not scored.where(~F.col(part).eqNullSafe("validation")).isEmpty():
+        raise ValueError("only validation rows may be evaluated")
+    of = lambda flag, name: [F.count_if(F.col("flag") == flag).alias(f"n_{name}"), ratio(F.sum(F.when(F.col("flag") == flag, F.col(target))), F.count(F.when(F.col("flag") == flag, F.col(target)))).alias(f"rate_{name}")]
+    rates = scored.agg(F.count("*").alias("n_rows"), *of("scored_outlier", "outlier"), *of("scored_normal", "normal"))
+    auc = score_metrics(scored.withColumn("_abs", F.abs("modified_zscore")), "_abs", target).select(F.col("roc_auc").alias("auc_abs_z"))
+    return rates.crossJoin(auc)  # one row each

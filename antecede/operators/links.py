@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from antecede.config import WINDOWS
 from antecede.functions.columns import relationship
-from antecede.operators.causal import prior_distinct_other
-from antecede.operators.profile import ratio
+from antecede.operators.causal import prior_distinct_other, windowed_distinct_other
+from antecede.operators.profile import ratio, sufficiency
 
 
 def row_coverage(df: DataFrame, anchor: str, other: str, part: str) -> DataFrame:
@@ -87,3 +90,14 @@ def sufficient_relationship(coverage: float, density: float, part_relative: floa
 
 def coverage_rate(df: DataFrame, anchor: str, other: str) -> DataFrame:
     return df.agg((ratio(F.count_if(F.col(anchor).isNotNull() & F.col(other).isNotNull()), F.count("*")) * 100).alias("pct_valid"))
+
+
+def relationship_direction(df: DataFrame, anchor: str, other: str, dt: str, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """One direction of a relationship: sufficiency of the distinct partners behind each row, over all its history (window 0) and over the
+    latest events of each window size. Rows without anchor, partner or time are in no direction."""
+    rows = relationship(df, anchor, other).where(F.col(dt).isNotNull())
+    counted = sufficiency(prior_distinct_other(rows, anchor, other, dt, "_c_d"), "_c_d").withColumn("window_size", F.lit(0))
+    for n in windows:
+        one = windowed_distinct_other(rows, anchor, other, dt, n)
+        counted = counted.unionByName(sufficiency(one, "prior_distinct_other_count_in_window").withColumn("window_size", F.lit(n)))
+    return counted

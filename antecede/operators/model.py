@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from antecede.config import SplitConfig
@@ -52,6 +52,22 @@ def fit(train: DataFrame, step: str) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
 
 
+def save_artifact(model: PipelineModel, step: str, path: str) -> None:
+    """Writes a fitted model with the step whose features it takes; an older one at ``path`` is replaced."""
+    if step not in LADDER:
+        raise ValueError(f"unknown step: {step}")
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(step, list(LADDER[step]))], "step string, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel, str]:
+    """The model and its step; ValueError if its features are no longer the step's."""
+    about = spark.read.schema("step string, features array<string>").json(f"{path}/about").first()
+    if tuple(about.features) != LADDER.get(about.step):
+        raise ValueError(f"the model at {path} was fitted to other features than {about.step} has")
+    return PipelineModel.load(f"{path}/model"), about.step
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     out = model.transform(rows)
     return out.select("id", "part", "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

@@ -137,6 +137,32 @@ def behavior_flag_coverage(s, d):
     return rounded(out, *[f"pct_{f}" for f in detection.FLAGS])
 
 
+@query(
+    "SELECT count(*) AS n_rows, count(*) FILTER (flag = 'scored_outlier') AS n_outlier, round(avg(y) FILTER (flag = 'scored_outlier'), 9) AS rate_outlier, "
+    "count(*) FILTER (flag = 'scored_normal') AS n_normal, round(avg(y) FILTER (flag = 'scored_normal'), 9) AS rate_normal, round((SELECT (sum(y * rk) - sum(y) * (sum(y) + 1) / 2.0) "
+    "/ (sum(y) * (count(*) - sum(y))) FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM (SELECT y, abs(zs) AS v FROM f "
+    "WHERE part = 'validation' AND zs IS NOT NULL))), 6) AS auc_abs_z FROM f WHERE part = 'validation'",
+    P + ", " + _SCORED,
+)
+def validation_outliers(s, d):
+    scored = detection.behavior_score(parts(s, d), "grp", "amt", "dt").where("part = 'validation'")
+    return rounded(rounded(detection.evaluate_validation_only(scored, "y"), "rate_outlier", "rate_normal", places=9), "auc_abs_z")
+
+
+def _direction_sql(n: int) -> str:
+    counts = f"(WITH {W('l', n)} SELECT grp, dt, count(DISTINCT other) AS k FROM w GROUP BY ALL)" if n else (
+        "(SELECT x.grp, x.dt, count(*) AS k FROM (SELECT DISTINCT grp, dt FROM l) x JOIN (SELECT grp, other, min(dt) AS dt FROM l GROUP BY ALL) q ON q.grp = x.grp AND q.dt < x.dt GROUP BY ALL)"
+    )
+    shares = ", ".join(f"round(avg(CASE WHEN coalesce(k, 0) >= {t} THEN 100.0 ELSE 0.0 END), 6) AS pct_ge_{t}" for t in SUFFICIENCY_THRESHOLDS)
+    return f"SELECT {n} AS window_size, count(*) AS n_rows, {shares} FROM l LEFT JOIN {counts} USING (grp, dt)"
+
+
+@query(" UNION ALL ".join(map(_direction_sql, (0, 5, 10))), L)
+def relationship_direction(s, d):
+    out = links.relationship_direction(A.lines(s, d), "grp", "other", "dt", (5, 10))
+    return rounded(out, *[f"pct_ge_{t}" for t in SUFFICIENCY_THRESHOLDS])
+
+
 @query("SELECT id, coalesce(n, 0) AS prior_distinct_other_count FROM l LEFT JOIN (SELECT x.grp, x.dt, count(DISTINCT q.other) AS n FROM (SELECT DISTINCT grp, dt FROM l) x JOIN (SELECT grp, other, min(dt) AS dt FROM l GROUP BY ALL) q ON q.grp = x.grp AND q.dt < x.dt GROUP BY ALL) USING (grp, dt)", L)
 def prior_distinct(s, d):
     return causal.prior_distinct_other(A.lines(s, d), "grp", "other", "dt").select("id", "prior_distinct_other_count")
