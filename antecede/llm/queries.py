@@ -92,6 +92,31 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Least id that each node of ``edges (a, b)``, given in both directions, reaches.
+_COMPONENTS = "reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a), least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"
+
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), good AS (
+  SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), half AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95
+), edges AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half), {_COMPONENTS}
+SELECT vec_id, (SELECT count(*) FROM edges WHERE a = vec_id) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN least_of ON a = vec_id
+"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets), half AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM sh p JOIN sh q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))
+), edges AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half), {_COMPONENTS}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN least_of ON a = doc_id
+"""
+
+
 def _weight_sql(level: str) -> str:
     table = MIX_WEIGHTS.get(level, {})
     return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1.0 END" if table else "1.0"
@@ -124,4 +149,4 @@ def mixing_sql(documents: str = "documents", share: float = MIX_SHARE, epochs: i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op10_mixing": mixing_sql() + "\nSELECT * FROM mixed"}
+    return {"op1_embedding_dedup": OP1_SQL, "op9_jaccard_join": OP9_SQL, "op7_line_dedup": OP7_SQL, "op10_mixing": mixing_sql() + "\nSELECT * FROM mixed"}
