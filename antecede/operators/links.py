@@ -11,6 +11,8 @@ from antecede.config import WINDOWS
 from antecede.functions.columns import relationship
 from antecede.operators.causal import prior_distinct_other, windowed_distinct_other
 from antecede.operators.profile import ratio, sufficiency
+from antecede.operators.stats import running
+from antecede.storage import stored
 
 
 def row_coverage(df: DataFrame, anchor: str, other: str, part: str) -> DataFrame:
@@ -34,12 +36,9 @@ def high_fanout(fanout: DataFrame, anchor: str, percent: float = 1.0, least: int
     """The largest fan-outs: max(least, ceil(percent of n)) anchors with ties at the cutoff, none of 0. Two counts find the cutoff."""
     n = fanout.count()
     target = max(least, -(-int(n * percent * 1000) // 100000))
-    by_value = fanout.where("fanout > 0").groupBy("fanout").agg(F.count("*").alias("_n")).orderBy(F.desc("fanout")).limit(target).collect()
-    total, cutoff = 0, None
-    for r in by_value:
-        cutoff, total = r.fanout, total + r._n
-        if total >= target:
-            break
+    by_value = fanout.where("fanout > 0").groupBy("fanout").agg(F.count("*").alias("_n"))
+    # the least fan-out that fewer than ``target`` anchors exceed
+    cutoff = running(by_value, "fanout", ["_n"], descending=True).where(F.col("_r__n") - F.col("_n") < target).agg(F.min("fanout")).first()[0]
     return fanout.where(F.col("fanout") >= (cutoff if cutoff is not None else 2**62)).select(anchor, "fanout")
 
 
@@ -55,7 +54,7 @@ def _shared(pairs: DataFrame, anchor: str, other: str) -> DataFrame:
 
 def overlap(df: DataFrame, anchor: str, other: str, dt: str, percentile: float = 0.99, signal: float = 20.0) -> DataFrame:
     """Mean share of an anchor's partners that another selected anchor has too, over anchors at or over the percentile's fan-out."""
-    fan = fan_out(df, anchor, other, dt)
+    fan = stored(fan_out(df, anchor, other, dt), "fan-out")
     cut = fan.agg(F.percentile("fanout", percentile).alias("_cut"))
     chosen = fan.crossJoin(F.broadcast(cut)).where("fanout >= _cut").select(anchor)  # one row
     mine = causal_pairs(df, anchor, other, dt).join(chosen, anchor)
@@ -65,11 +64,11 @@ def overlap(df: DataFrame, anchor: str, other: str, dt: str, percentile: float =
 
 def adjusted_overlap(df: DataFrame, anchor: str, other: str, dt: str, least_lift: float = 2.0, eps: float = 0.5) -> DataFrame:
     """Observed overlap of high fan-out anchors against what the partners' prevalence alone would give; ratio of means."""
-    fan = fan_out(df, anchor, other, dt)
+    fan = stored(fan_out(df, anchor, other, dt), "fan-out")
     n = fan.count()
-    chosen = high_fanout(fan, anchor)
+    chosen = stored(high_fanout(fan, anchor), "high-fan-out")
     h = chosen.count()
-    pairs = causal_pairs(df, anchor, other, dt)
+    pairs = stored(causal_pairs(df, anchor, other, dt), "causal-pairs")
     mine = pairs.join(chosen.select(anchor), anchor)
     held = _shared(mine, anchor, other).join(partner_prevalence(pairs, other, n).select(other, "prevalence"), other)
     each = held.groupBy(anchor).agg(F.avg((F.col("_held") > 1).cast("double") * 100).alias("_o"), F.avg((1 - F.pow(1 - F.col("prevalence"), F.lit(max(h - 1, 0)))) * 100).alias("_e"))
