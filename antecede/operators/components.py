@@ -40,12 +40,13 @@ def components(links: DataFrame, few_links: int = FEW_LINKS) -> DataFrame:
     if links.limit(few_links + 1).count() <= few_links:
         return stored(_by_one_task(links), "components")
     edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    # The size that a checkpoint shows is that of the compressed files it came from, so the joins are told not to gather it on the driver.
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("_other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_other").alias("_near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "_near").alias("_low"), F.col("component").alias("_was"))
+        near = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("_other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("_other").alias("_near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.least("component", "_near").alias("_low"), F.col("component").alias("_was"))
         top = lower.select(F.col("node").alias("_low"), F.col("_low").alias("_top"))
-        jumped = cut(lower.join(top, "_low", "left").select("node", F.least("_low", F.coalesce("_top", "_low")).alias("component"), "_was"))
+        jumped = cut(lower.join(top.hint("merge"), "_low", "left").select("node", F.least("_low", F.coalesce("_top", "_low")).alias("component"), "_was"))
         changed = jumped.where("component <> _was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions.columns import require_columns
@@ -45,59 +47,122 @@ class DisjointSet:
         return x in self.parent
 
 
-def _half(links: DataFrame, h: int, right: bool) -> DataFrame:
-    return links.where(F.shiftright("_c_t", h).bitwiseAND(1) == int(right))
+#: Rows up to which a table goes to every task of a join. Files say little of that: compressed Parquet is far smaller than its rows.
+FEW_ROWS = 50_000
+
 
+def _met(rows: DataFrame, table: DataFrame, n: int, on: str) -> DataFrame:
+    """``rows`` left-joined with the ``n`` rows of ``table``, which the driver gathers only if they are few."""
+    return rows.join(table.hint("broadcast" if n <= FEW_ROWS else "merge"), on, "left")
 
-def _at(h: int, c: str) -> Column:
-    """A component's name within its span of ``2 ** (h + 1)`` times."""
-    return F.concat_ws(":", F.shiftright("_c_t", h + 1), c)
 
+def _numbered(values: DataFrame, name: str) -> DataFrame:
+    """``values`` with a column ``name`` from 0 on without gaps, in any order."""
+    at = stored(values.withColumn("_c_at", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftright("_c_at", 33)
+    ends = at.groupBy(task.alias("_c_task")).agg(F.count("*").alias("_c_n")).orderBy("_c_task").collect()
+    starts = [(r[0], sum(e[1] for e in ends[:k])) for k, r in enumerate(ends)]
+    starts = values.sparkSession.createDataFrame(starts, "_c_task bigint, _c_start bigint")
+    within = at.withColumn("_c_task", task).join(F.broadcast(starts), "_c_task")
+    return within.withColumn(name, F.col("_c_start") + F.col("_c_at").bitwiseAND((1 << 33) - 1)).select(*values.columns, name)
 
-def _earliest(links: DataFrame, h: int) -> DataFrame:
-    """Links between different components; of parallel ones in a span of ``2 ** h`` times the first decides."""
-    return links.where("_c_x <> _c_y").groupBy(F.shiftright("_c_t", h).alias("_c_span"), "_c_x", "_c_y").agg(F.min("_c_t").alias("_c_t")).drop("_c_span")
+
+def _forest(links: DataFrame, few_links: int) -> DataFrame:
+    """The links ``_c_x, _c_y, _c_t`` of a spanning forest with the least times: at any time they join the nodes that all links up to then join.
+
+    Each round every component takes its first link (ties by the ends) and the links within the new components go. A round leaves at most
+    half of the components, and the first one most of the links.
+    """
+    taken: list[DataFrame] = []
+    links = links.where("_c_x <> _c_y").select("_c_x", "_c_y", F.struct("_c_t", F.col("_c_x").alias("_c_u"), F.col("_c_y").alias("_c_v")).alias("_c_link"))
+    while True:
+        first = [links.groupBy(F.col(x).alias("_c_x")).agg(F.min(F.struct("_c_link", F.col(y).alias("_c_y"))).alias("_c_first")) for x, y in (("_c_x", "_c_y"), ("_c_y", "_c_x"))]
+        first = stored(first[0].union(first[1]).groupBy("_c_x").agg(F.min("_c_first").alias("_c_first")), "first-links")
+        taken.append(first.select("_c_first._c_link.*").distinct())
+        if first.isEmpty():
+            break
+        labels = components(first.select(F.col("_c_x").alias("a"), F.col("_c_first._c_y").alias("b")), few_links)
+        n = labels.count()
+        for x in ("_c_x", "_c_y"):
+            links = _met(links, labels.select(F.col("node").alias(x), F.col("component").alias("_c_comp")), n, x).withColumn(x, F.col("_c_comp")).drop("_c_comp")
+        pair = F.least("_c_x", "_c_y").alias("_c_x"), F.greatest("_c_x", "_c_y").alias("_c_y")
+        links = stored(links.where("_c_x <> _c_y").groupBy(*pair).agg(F.min("_c_link").alias("_c_link")), "edge-links")
+    out = reduce(DataFrame.union, taken)
+    return stored(out.select(F.col("_c_u").alias("_c_x"), F.col("_c_v").alias("_c_y"), "_c_t"), "forest")
+
+
+def _merges(links: DataFrame, n_nodes: int, n_times: int, few_links: int) -> list[tuple[int, DataFrame, int]]:
+    """For each halving ``h``, from the longest spans on: ``_c_key`` (span and component at its start), the component ``_c_new`` at the start of
+    the span's right half, its size ``_c_total``, and the number of rows; components that stay as they are are left out."""
+    out = []
+    links = links.withColumns({"_c_xs": F.lit(1).cast("long"), "_c_ys": F.lit(1).cast("long")})
+    for h in range(max(n_times - 1, 0).bit_length() - 1, -1, -1):
+        half = lambda right, h=h: links.where(F.shiftright("_c_t", h).bitwiseAND(1) == int(right))  # noqa: E731, B023
+        key = lambda c, h=h: F.shiftright("_c_t", h + 1) * n_nodes + F.col(c)
+        left = half(False)
+        if left.isEmpty():
+            continue
+        labels = components(left.select(key("_c_x").alias("a"), key("_c_y").alias("b")), few_links)
+        sizes = left.select(key("_c_x").alias("node"), F.col("_c_xs").alias("_c_size")).union(left.select(key("_c_y"), "_c_ys")).distinct()
+        sized = stored(labels.join(sizes.hint("merge"), "node"), "edge-components")
+        total = sized.groupBy("component").agg(F.sum("_c_size").alias("_c_total"))
+        moved = sized.join(total.hint("merge"), "component").select(F.col("node").alias("_c_key"), F.pmod("component", F.lit(n_nodes)).alias("_c_new"), "_c_total")
+        moved = stored(moved, "edge-components")
+        out.append((h, moved, n := moved.count()))
+        right = half(True)
+        for x in ("_c_x", "_c_y"):
+            right = _met(right.withColumn("_c_key", key(x)), moved, n, "_c_key")
+            right = right.withColumns({x: F.coalesce("_c_new", x), f"{x}s": F.coalesce("_c_total", f"{x}s")}).drop("_c_key", "_c_new", "_c_total")
+        links = stored(left.unionByName(right), "edge-links")
+    return out
 
 
 def causal_component_metrics(edges: DataFrame, a: str, b: str, dt: str, few_links: int = FEW_LINKS) -> DataFrame:
     """Each edge's component sizes just before its time; all edges of one time are read before any is added.
 
-    The times are halved again and again. For every span of times the components at its start are known (single nodes at first); the
-    links of its left half join them to the components at the start of its right half, for all spans at once. After as many
-    rounds as the number of times has binary digits each time is a span of its own. A round is joins and minima over the links between
-    different components, so a giant component never goes to one task. Null endpoints raise ValueError; without a time the metrics are null.
+    Only the links of a spanning forest with the least times ever join components. Its times are halved again and again. For every span of
+    times the components at its start are known (single nodes at first); the links of its left half join them to the components at the
+    start of its right half, for all spans at once. After as many rounds as the number of times has binary digits each time is a span of its
+    own. An edge's end takes part only from the round of its time's highest digit on, and then once for all ends of its time and component.
+    A round is joins and minima, so a giant component never goes to one task, and the driver gathers no table of nodes or links.
+    Null endpoints raise ValueError; without a time the metrics are null.
     """
     require_columns(edges, a, b, dt)
     if not edges.where(F.col(a).isNull() | F.col(b).isNull()).isEmpty():
         raise ValueError("an edge has a null endpoint")
-    spark, of = edges.sparkSession, edges.schema[dt].dataType.simpleString()
+    of = edges.schema[dt].dataType.simpleString()
     times = edges.where(F.col(dt).isNotNull()).select(F.col(dt).alias("_c_dt")).distinct().orderBy("_c_dt").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    times = stored(spark.createDataFrame(times, f"_c_dt {of}, _c_t bigint"), "edge-times")
-    name = lambda side, c: F.concat(F.lit(f"{side}:"), F.col(c).cast("string"))
-    keyed = edges.withColumns({"_c_a": name("a", a), "_c_b": name("b", b)}).join(times, F.col(dt) == F.col("_c_dt"), "left").drop("_c_dt")
-    timed = keyed.where("_c_t IS NOT NULL")
-    links = stored(timed.select(F.col("_c_a").alias("_c_x"), F.col("_c_b").alias("_c_y"), "_c_t").distinct(), "edge-links")
-    seen = links.select(F.col("_c_x").alias("_c_node"), "_c_t").union(links.select("_c_y", "_c_t")).distinct()
-    seen = stored(seen.withColumns({"_c_comp": F.col("_c_node"), "_c_size": F.lit(1).cast("long")}), "edge-ends")
-    n = times.count()
-    for h in range(max(n - 1, 0).bit_length() - 1, -1, -1):
-        links = _earliest(links, h + 1)
-        left = stored(_half(links, h, False), "edge-links")
-        if left.isEmpty():
-            continue
-        labels = components(left.select(_at(h, "_c_x").alias("a"), _at(h, "_c_y").alias("b")), few_links)
-        sizes = seen.select(_at(h, "_c_comp").alias("node"), "_c_size").distinct()
-        joined = labels.join(sizes, "node")
-        total = joined.groupBy("component").agg(F.sum("_c_size").alias("_c_total"))
-        moved = stored(labels.join(total, "component").select(F.col("node").alias("_c_key"), F.expr("substr(component, instr(component, ':') + 1)").alias("_c_new"), "_c_total"), "edge-components")
-        to = lambda df, c: df.withColumn("_c_key", _at(h, c)).join(moved, "_c_key", "left").withColumn(c, F.coalesce("_c_new", c)).drop("_c_key", "_c_new")  # noqa: E731, B023
-        right = to(_half(seen, h, True), "_c_comp").withColumn("_c_size", F.coalesce("_c_total", "_c_size")).drop("_c_total")
-        seen = stored(_half(seen, h, False).unionByName(right), "edge-ends")
-        links = stored(left.unionByName(_earliest(to(to(_half(links, h, True), "_c_x").drop("_c_total"), "_c_y").drop("_c_total"), h)), "edge-links")
-    out = keyed
+    times = stored(edges.sparkSession.createDataFrame(times, f"_c_dt {of}, _c_t bigint"), "edge-times")
+    n_times = times.count()
+    keyed = _met(edges.withColumn("_c_dt", F.col(dt)), times, n_times, "_c_dt").drop("_c_dt")
+    name = {side: F.col(c).cast("string") for side, c in (("a", a), ("b", b))}
+    named = [edges.select(F.lit(side).alias("_c_side"), n.alias("_c_name")).distinct() for side, n in name.items()]
+    nodes = stored(_numbered(named[0].union(named[1]), "_c_node"), "edge-nodes")
+    n_nodes = nodes.count()
+    for side, n in name.items():
+        own = nodes.where(F.col("_c_side") == side).select("_c_name", F.col("_c_node").alias(f"_c_{side}"))
+        keyed = _met(keyed.withColumn("_c_name", n), own, n_nodes, "_c_name").drop("_c_name")
+    keyed = stored(keyed, "edges")
+    links = keyed.where("_c_t IS NOT NULL").select(F.col("_c_a").alias("_c_x"), F.col("_c_b").alias("_c_y"), "_c_t")
+    merges = _merges(_forest(links, few_links), n_nodes, n_times, few_links)
+
+    digit = F.when(F.col("_c_t") > 0, F.length(F.bin("_c_t")) - 1).cast("long")
+    first = [moved.where(F.col("_c_key") < n_nodes).withColumn("_c_key", F.col("_c_key") + h * n_nodes) for h, moved, _ in merges]
+    for side in "ab" if first else "":
+        keyed = _met(keyed.withColumn("_c_key", digit * n_nodes + F.col(f"_c_{side}")), reduce(DataFrame.union, first), sum(n for *_, n in merges), "_c_key")
+        keyed = keyed.withColumns({f"_c_{side}": F.coalesce("_c_new", f"_c_{side}"), f"_c_{side}s": F.coalesce("_c_total", F.lit(1))}).drop("_c_key", "_c_new", "_c_total")
+    keyed = stored(keyed if first else keyed.withColumns({"_c_as": F.lit(1).cast("long"), "_c_bs": F.lit(1).cast("long")}), "edges")
+    ends = keyed.select("_c_t", F.col("_c_a").alias("_c_was"), F.col("_c_as").alias("_c_size")).union(keyed.select("_c_t", "_c_b", "_c_bs"))
+    ends = ends.where("_c_t IS NOT NULL").distinct().withColumn("_c_comp", F.col("_c_was"))
+    for h, moved, n in merges:
+        due = (digit > h) & (F.shiftright("_c_t", h).bitwiseAND(1) == 1)
+        ends = _met(ends.withColumn("_c_key", F.when(due, F.shiftright("_c_t", h + 1) * n_nodes + F.col("_c_comp"))), moved, n, "_c_key")
+        ends = stored(ends.withColumns({"_c_comp": F.coalesce("_c_new", "_c_comp"), "_c_size": F.coalesce("_c_total", "_c_size")}).drop("_c_key", "_c_new", "_c_total"), "edge-ends")
+    ends = stored(ends.select((F.col("_c_t") * n_nodes + F.col("_c_was")).alias("_c_key"), "_c_comp", "_c_size"), "edge-ends")
+    out, n = keyed, ends.count()
     for side in "ab":
-        end = seen.select(F.col("_c_node").alias(f"_c_{side}"), "_c_t", F.col("_c_comp").alias(f"_c_{side}_comp"), F.col("_c_size").alias(f"{side}_component_size"))
-        out = out.join(end, [f"_c_{side}", "_c_t"], "left")
+        out = _met(out.withColumn("_c_key", F.col("_c_t") * n_nodes + F.col(f"_c_{side}")), ends, n, "_c_key").drop("_c_key")
+        out = out.withColumnsRenamed({"_c_comp": f"_c_{side}_comp", "_c_size": f"{side}_component_size"})
     same = F.col("_c_a_comp") == F.col("_c_b_comp")
     merged = F.when(same, F.col("a_component_size")).otherwise(F.col("a_component_size") + F.col("b_component_size"))
     return out.withColumns({"same_component": same, "merged_component_size": merged}).select(*edges.columns, "a_component_size", "b_component_size", "same_component", "merged_component_size")
