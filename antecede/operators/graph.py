@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antecede.functions.columns import require_columns
-from antecede.operators.components import FEW_LINKS, components
+from antecede.operators.components import components, least_labels
 from antecede.storage import stored
 
 
@@ -47,6 +50,12 @@ class DisjointSet:
         return x in self.parent
 
 
+#: Links of a spanning forest up to which one task replays it (a few 100 MB there); beyond it the rounds are joins. Each round of joins
+#: costs the driver plans, stages and task records, so few links should not take many.
+FEW_LINKS = 2_000_000
+#: Links of which a task makes a forest of its own at a time.
+CHUNK = 500_000
+_LINK = "_c_x bigint, _c_y bigint, _c_t bigint"
 #: Rows up to which a table goes to every task of a join. Files say little of that: compressed Parquet is far smaller than its rows.
 FEW_ROWS = 50_000
 
@@ -67,14 +76,59 @@ def _numbered(values: DataFrame, name: str) -> DataFrame:
     return within.withColumn(name, F.col("_c_start") + F.col("_c_at").bitwiseAND((1 << 33) - 1)).select(*values.columns, name)
 
 
+def first_forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of the links (u, v) of a spanning forest of ``n`` places that takes earlier links first."""
+    labels, at, taken = np.arange(n), np.arange(len(u)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = labels[u[at]], labels[v[at]]
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return np.sort(np.concatenate(taken))
+        first = np.full((2, n), len(u))
+        for k, side in enumerate((x, y)):
+            first[k, side[::-1]] = at[::-1]  # of repeated places the last one stays, so the earliest link
+        first = first.min(axis=0)
+        picked = np.unique(first[first < len(u)])
+        taken.append(picked)
+        labels = least_labels(n, labels[u[picked]], labels[v[picked]])[labels]
+
+
+def _forests(chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each ``chunk`` links at least in a task, those of a spanning forest with the least times: at any time they join what all of them join."""
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x, y, t = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        order = np.argsort(t, kind="stable")
+        nodes, places = np.unique(np.concatenate([x[order], y[order]]), return_inverse=True)
+        kept = order[first_forest(len(nodes), *np.split(places, 2))]
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (x, y, t)], ["_c_x", "_c_y", "_c_t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield forest(held)
+                held, n = [], 0
+        if held:
+            yield forest(held)
+
+    return run
+
+
 def _forest(links: DataFrame, few_links: int) -> DataFrame:
     """The links ``_c_x, _c_y, _c_t`` of a spanning forest with the least times: at any time they join the nodes that all links up to then join.
 
     Each round every component takes its first link (ties by the ends) and the links within the new components go. A round leaves at most
-    half of the components, and the first one most of the links.
+    half of the components, and the first one most of the links. Before, each task drops what its own links join earlier; if few are left
+    then, one task ends it.
     """
     taken: list[DataFrame] = []
-    links = links.where("_c_x <> _c_y").select("_c_x", "_c_y", F.struct("_c_t", F.col("_c_x").alias("_c_u"), F.col("_c_y").alias("_c_v")).alias("_c_link"))
+    links = stored(links.where("_c_x <> _c_y").select("_c_x", "_c_y", "_c_t").mapInArrow(_forests(CHUNK), _LINK), "edge-links")
+    if links.limit(few_links + 1).count() <= few_links:
+        return stored(links.coalesce(1).mapInArrow(_forests(few_links + 1), _LINK), "forest")
+    links = links.select("_c_x", "_c_y", F.struct("_c_t", F.col("_c_x").alias("_c_u"), F.col("_c_y").alias("_c_v")).alias("_c_link"))
     while True:
         first = [links.groupBy(F.col(x).alias("_c_x")).agg(F.min(F.struct("_c_link", F.col(y).alias("_c_y"))).alias("_c_first")) for x, y in (("_c_x", "_c_y"), ("_c_y", "_c_x"))]
         first = stored(first[0].union(first[1]).groupBy("_c_x").agg(F.min("_c_first").alias("_c_first")), "first-links")
@@ -91,9 +145,43 @@ def _forest(links: DataFrame, few_links: int) -> DataFrame:
     return stored(out.select(F.col("_c_u").alias("_c_x"), F.col("_c_v").alias("_c_y"), "_c_t"), "forest")
 
 
+def _halvings(n_nodes: int, n_times: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``_c_h`` and the rows of ``_merges`` from all links of the forest, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        *ends, t = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        ends = [[e.copy(), np.ones(len(e), np.int64)] for e in ends]
+        for h in range(max(n_times - 1, 0).bit_length() - 1, -1, -1):
+            right = (t >> h) & 1 == 1
+            if right.all():
+                continue
+            keys = [(t >> (h + 1)) * n_nodes + c for c, _ in ends]
+            nodes, first, places = np.unique(np.concatenate([k[~right] for k in keys]), return_index=True, return_inverse=True)
+            labels = least_labels(len(nodes), *np.split(places, 2))
+            total = np.zeros(len(nodes), np.int64)
+            np.add.at(total, labels, np.concatenate([s[~right] for _, s in ends])[first])
+            total, new = total[labels], nodes[labels] % n_nodes
+            for i in range(0, len(nodes), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes[part]), h, np.int32)), *(pa.array(c[part]) for c in (nodes, new, total))], ["_c_h", "_c_key", "_c_new", "_c_total"])
+            for (c, size), key in zip(ends, keys, strict=True):
+                at = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
+                moves = right & (nodes[at] == key)
+                c[moves], size[moves] = new[at[moves]], total[at[moves]]
+
+    return run
+
+
 def _merges(links: DataFrame, n_nodes: int, n_times: int, few_links: int) -> list[tuple[int, DataFrame, int]]:
     """For each halving ``h``, from the longest spans on: ``_c_key`` (span and component at its start), the component ``_c_new`` at the start of
     the span's right half, its size ``_c_total``, and the number of rows; components that stay as they are are left out."""
+    if links.limit(few_links + 1).count() <= few_links:
+        moved = stored(links.coalesce(1).mapInArrow(_halvings(n_nodes, n_times), "_c_h int, _c_key bigint, _c_new bigint, _c_total bigint"), "edge-components")
+        counts = moved.groupBy("_c_h").agg(F.count("*").alias("_c_n")).orderBy(F.desc("_c_h")).collect()
+        return [(r[0], moved.where(F.col("_c_h") == r[0]).drop("_c_h"), r[1]) for r in counts]
     out = []
     links = links.withColumns({"_c_xs": F.lit(1).cast("long"), "_c_ys": F.lit(1).cast("long")})
     for h in range(max(n_times - 1, 0).bit_length() - 1, -1, -1):
@@ -124,7 +212,8 @@ def causal_component_metrics(edges: DataFrame, a: str, b: str, dt: str, few_link
     times the components at its start are known (single nodes at first); the links of its left half join them to the components at the
     start of its right half, for all spans at once. After as many rounds as the number of times has binary digits each time is a span of its
     own. An edge's end takes part only from the round of its time's highest digit on, and then once for all ends of its time and component.
-    A round is joins and minima, so a giant component never goes to one task, and the driver gathers no table of nodes or links.
+    A round is joins and minima over the forest's links; at most ``few_links`` of them, which are counted first, are replayed in one task. The
+    driver gathers no table of nodes or links.
     Null endpoints raise ValueError; without a time the metrics are null.
     """
     require_columns(edges, a, b, dt)
