@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from antecede.llm.common import drop_stored, forget_others, looked_up, rows_of, stored, whole
+from antecede.llm.common import drop_stored, forget_others, looked_up, rows_of, stored, tidy, whole
 from antecede.llm.components import components
 from antecede.llm.shingles import shingle_sets
 
@@ -49,6 +49,9 @@ DIRECT = 12
 PIVOTS = 16
 #: Ids of documents whose sets are needed, up to which they are sent to every task (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
+#: Rows of a stored table of labels or pivots up to which it is sent to every task (some MB); beyond it it is joined. Each shuffled join
+#: costs the driver the records of as many tasks as there are shuffle partitions, whatever the rows.
+SENT_ROWS = 20_000
 _TEXTS = 64
 #: Bits of a set's signature (a multiple of 64): each shingle sets one.
 SIGNATURE = 1024
@@ -192,6 +195,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     sets = _sets(docs, id_col, text_col, size, eps)
     members = sets.where("n > 0").groupBy("same").agg(F.min("row").alias("row")).select("row")
     members = stored(sets.join(members, "row"), "set-members")
+    tidy(docs.sparkSession)
     links = _link(docs, members, id_col, text_col, size, percent, eps, direct, pivots)
     labels = components(links)
     # equal sets share their member's component; a set that many rows have, and a component of many rows, are looked up apart
@@ -261,6 +265,11 @@ def _more_pivots(now: DataFrame, take: int) -> DataFrame:
     return both.dropDuplicates(["region", "pivot"])
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """The stored ``table``, for a join: sent to every task if it is small."""
+    return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table
+
+
 def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, eps: float, direct: int, pivots: int) -> DataFrame:
     """``a, b``: links that connect what the linked pairs of members connect."""
     linked = lambda d: d.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
@@ -274,36 +283,40 @@ def _link(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size:
     few = _direct_pairs(regions.where(F.col("m") <= direct), direct, percent).union(_direct_pairs(large.where(F.col("m") <= direct), direct, percent)).distinct()
     pairs = stored(_not_excluded(few, members, percent), "pairs")
     drop_stored(regions)
+    tidy(docs.sparkSession)
     sets = _whole_sets(ends(pairs), docs, members, id_col, text_col, size)
     links = stored(linked(_distances(pairs, sets)), "links")
     drop_stored(sets)
+    tidy(docs.sparkSession)
     large = large.where(F.col("m") > direct)
     large = large.join(members.select("row", "sig"), "row")
     open_, sets, take = large.join(large.groupBy("row").agg(F.sum("m").alias("score")), "row").withColumn("far", F.lit(None).cast("double")).select(*_MEMBER), None, pivots
     old: list[DataFrame] = []
     while True:
-        labels = components(links)
+        labels = _sent(components(links))
         now = open_.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
         split = now.groupBy("region").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("low").alias("_own")).where("_lo < _hi AND NOT _own").select("region")
         now = stored(now.join(split, "region"), "open-regions")
         while old:
             drop_stored(old.pop())
+        tidy(docs.sparkSession)
         if now.isEmpty():
             return links
         first = sets is None
         if first:
             sets = _whole_sets(now.select("row"), docs, members, id_col, text_col, size)
         chosen = stored(_first_pivots(now) if first else _more_pivots(now, take), "pivots")
+        few = _sent(chosen)
         near = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= eps + 1e-9, F.lit(True))
-        facing = now.join(chosen, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc")) & _near(percent) & near & _alike(percent))
+        facing = now.join(few, "region").where((F.col("row") != F.col("pivot")) & (F.col("component") != F.col("_pc")) & _near(percent) & near & _alike(percent))
         facing = stored(facing.select("region", "row", F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "facing")
         wanted = facing.select("a", "b").distinct()
         measured = stored(_distances(wanted if first else _not_excluded(wanted, members, percent), sets), "distances")
         old += [now, chosen, facing, measured, links]
         links = stored(links.union(linked(measured)), "links")
-        rest = now.join(chosen.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
+        rest = now.join(few.select("region", F.col("pivot").alias("row")), ["region", "row"], "left_anti")
         if first:  # the distance to a pivot that a member faced; unknown to members that cannot link to it
-            far = facing.join(measured, ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far"))
+            far = facing.join(_sent(measured), ["a", "b"]).select("region", "row", (1 - F.col("shared") / F.col("total")).alias("far"))
             rest = rest.drop("far").join(far, ["region", "row"], "left")
         else:
             take *= 8
